@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+from tidemark.llm import suffix_dedup
 from tidemark.llm.suffix_dedup import remove_repeats
 
 
@@ -25,7 +26,7 @@ def check(spark, rows, depth=100):
     assert got == brute(rows, depth)
 
 
-def test_copies_edits_and_passages(spark):
+def rows_of():
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdeéß") for _ in range(rng.randint(1, 7)))
     text = lambda n: " ".join(word() for _ in range(n))
@@ -39,14 +40,28 @@ def test_copies_edits_and_passages(spark):
             w[rng.randrange(len(w))] = word()
         rows.append((300 + i, " ".join(w)))
     rows += [(400, "a" * 1000), (401, "ab" * 300), (402, "a" * 99), (403, "a" * 100), (404, None), (405, ""), (406, passage * 3)]
-    check(spark, rows)
-    check(spark, rows, 40)
+    return rows
+
+
+def test_copies_edits_and_passages(spark):
+    check(spark, rows_of())
+    check(spark, rows_of(), 40)
+
+
+def test_groups_too_large_for_a_task(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 3000)
+    monkeypatch.setattr(suffix_dedup, "LOCAL_ROWS", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        check(spark, rows_of())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_long_text_over_several_blocks(spark, monkeypatch):
     rng = random.Random(8)
     part = "".join(rng.choice("abcdefgh") for _ in range(1000))
-    long = "".join(rng.choice("abcdefgh") for _ in range(5_200_000))
+    long = "".join(rng.choice("abcdefgh") for _ in range(4_400_000))
     rows = [(1, long[:100] + part), (2, long), (3, long[2_097_000:2_097_400] + "x" + long[4_194_200:4_194_500] + part[:150])]
     check(spark, rows)
 

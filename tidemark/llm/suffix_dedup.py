@@ -13,8 +13,10 @@ the repeated windows.  The digits are fingerprints, since only equality counts:
    windows with one anchor is one row, about 3 rows in 100 bytes;
 2. the second digit is the whole text of such a run.  Of runs that are equal,
    all but the earliest are removed as they are;
-3. only where different runs share an anchor, their windows are compared one by
-   one by the fingerprint of their ``depth`` bytes (the last digit).
+3. only where different runs share an anchor, their bytes are brought together and
+   their windows compared one by one by the fingerprint of their ``depth`` bytes
+   (the last digit).  A task settles the groups that fit into GROUP_BYTES; the
+   windows of a larger group are dealt out once more, by their own fingerprints.
 
 A key is two 64-bit fingerprints.  Before each shuffle, a task keeps the earliest
 row of each key that it has and settles the others itself, so a string that a
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import shuffle_partitions, texts_by_id
+from .frames import materialise, shuffle_partitions, texts_by_id
 from .textbuf import RollingHash, column_bytes, mix, ranges, slices
 
 DEPTH, GRAM = 100, 32
@@ -44,8 +46,11 @@ PLACE_BITS = 22
 BLOCK = 1 << 21
 #: Rows that a task gathers before it settles repetitions among them.
 LOCAL_ROWS = 400_000
+#: Bytes of runs that a task compares at once.
+GROUP_BYTES = 4 << 20
+SPANS = "digit long, doc_id long, start int, span binary"
+#: kind: 0 a run or window to compare, 1 bytes to remove, 2 a run whose windows are to be compared.
 ROWS = "digit long, tail long, doc_id long, start int, len int, kind int"
-EXTENTS = 0, 1, 2  # kinds of rows: a run or window to compare; bytes to remove; a run whose windows are to be compared
 
 
 def anchor_runs(data: np.ndarray, offsets: np.ndarray, depth: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -188,63 +193,89 @@ def _compare(batches: Iterator[pa.RecordBatch], windows: bool) -> Iterator[pa.Re
         head = (digit[-1], tail[-1], *((doc[at[-1]], start[at[-1]], length[at[-1]], bool(not windows and out[at[-1]])) if len(at) else head[2:]))
 
 
-def _windows(depth: int):
-    """The windows of runs whose anchor other runs have as well; a text comes with all of its runs."""
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of runs whose anchor other runs have as well; a text comes with all of its runs."""
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        data, offsets = column_bytes(batch.column(1))
+        runs = batch.column(2)
+        owner = np.repeat(np.arange(len(ids)), np.diff(runs.offsets.to_numpy()))
+        start, length, digit = (runs.flatten().field(k).to_numpy(zero_copy_only=False) for k in ("start", "len", "digit"))
+        for a in range(0, len(owner), 20_000):
+            k = slice(a, a + 20_000)
+            size = length[k].astype(np.int64)
+            raw = data[ranges(start[k] + offsets[owner[k]], size)]
+            at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            span = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(raw.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(digit[k]), pa.array(ids[owner[k]]), pa.array(start[k]), span], names=["digit", "doc_id", "start", "span"])
+
+
+def _settle_windows(depth: int):
+    """Rows in order of the digit; whole groups are settled here, the windows of larger ones go on."""
+
+    def windows(rows: pa.Table) -> tuple:
+        data, offsets = column_bytes(rows["span"])
+        digit, doc, start = (rows[k].to_numpy() for k in ("digit", "doc_id", "start"))
+        each = np.diff(offsets) - depth + 1
+        place, who = ranges(offsets[:-1], each), np.repeat(np.arange(len(each)), each)
+        return digit[who].view(np.uint64), RollingHash(data).of(place, place + depth), doc[who], place - offsets[who] + start[who], np.full(len(who), depth, np.int64)
+
+    def settled(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        digit, tail, doc, start, length = windows(rows)
+        order, first = _settle(digit, tail, doc, start, length)
+        lose = order[~first]
+        if len(lose):
+            yield _removed(doc[lose], start[lose], length[lose])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
+        held, size, large = [], 0, None  # large: the digit of the group that is too large
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            data, offsets = column_bytes(batch.column(1))
-            runs = batch.column(2)
-            owner = np.repeat(np.arange(len(ids)), np.diff(runs.offsets.to_numpy()))
-            flat = runs.flatten()
-            start, length, digit = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("start", "len", "digit"))
-            order = np.argsort(owner, kind="stable")
-            owner, start, length, digit = owner[order], start[order].astype(np.int64), length[order].astype(np.int64), digit[order].view(np.uint64)
-            for i, j in slices(offsets):
-                lo, hi = np.searchsorted(owner, [i, j])
-                rolled = RollingHash(data[offsets[i] : offsets[j]])
-                for a in range(lo, hi, 20_000):
-                    k = slice(a, min(hi, a + 20_000))
-                    each = length[k] - depth + 1
-                    at = ranges(start[k], each)
-                    who = np.repeat(owner[k], each)
-                    place = at + offsets[who] - offsets[i]
-                    parts.append((np.repeat(digit[k], each), rolled.of(place, place + depth), ids[who], at, np.full(len(at), depth, np.int64)))
-                    held += len(at)
-                    if held >= LOCAL_ROWS:
-                        yield from _gathered(parts)
-                        parts, held = [], 0
-        yield from _gathered(parts)
+            held.append(batch)
+            size += batch.column(3).nbytes
+            if size < GROUP_BYTES:
+                continue
+            rows = pa.Table.from_batches(held)
+            digit = rows["digit"].to_numpy()
+            cut = len(digit) - int((digit == digit[-1]).sum())
+            done, rest = rows.slice(0, cut), rows.slice(cut)
+            if large is not None and cut:
+                mine = int((digit == large).sum())
+                if mine:
+                    yield from _gathered([windows(done.slice(0, mine))])
+                    done = done.slice(mine)
+                large = None
+            if len(done):
+                yield from settled(done)
+            if rest.nbytes >= GROUP_BYTES or large is not None:
+                yield from _gathered([windows(rest)])
+                large, rest = digit[-1], rest.slice(0, 0)
+            held = rest.to_batches()
+            size = sum(x.column(3).nbytes for x in held)
+        if held:
+            rows = pa.Table.from_batches(held)
+            mine = int((rows["digit"].to_numpy() == large).sum()) if large is not None else 0
+            if mine:
+                yield from _gathered([windows(rows.slice(0, mine))])
+            if len(rows) > mine:
+                yield from settled(rows.slice(mine))
 
     return run
 
 
-def repeated_spans(texts: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, start, len): stretches of bytes that earlier strings repeat; they may overlap.  texts: unique (doc_id, text)."""
-    n = shuffle_partitions(texts.sparkSession)
-    runs = texts.mapInArrow(_runs(depth, gram), ROWS)
-    dealt = runs.repartition(n, "digit").sortWithinPartitions("digit", "tail", "doc_id", "start")
-    second = dealt.mapInArrow(lambda batches: _compare(batches, False), ROWS)
-    return second
-
-
 def spans_by_document(texts: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, text, spans array<struct<start,len>>) of every document."""
+    """(doc_id, text, spans array<struct<start,len>>) of every document; texts: unique (doc_id, text).  Spans may overlap."""
     n = shuffle_partitions(texts.sparkSession)
+    runs = texts.mapInArrow(_runs(depth, gram), ROWS).repartition(n, "digit").sortWithinPartitions("digit", "tail", "doc_id", "start")
+    second = materialise(runs.mapInArrow(lambda batches: _compare(batches, False), ROWS), "runs")
     dealt = texts.repartition(n, "doc_id")
-    second = repeated_spans(texts, depth, gram)
-    mine = second.groupBy("doc_id").agg(
-        F.collect_list(F.when(F.col("kind") == 2, F.struct("start", "len", "digit"))).alias("runs"),
-        F.collect_list(F.when(F.col("kind") == 1, F.struct("start", "len"))).alias("gone"),
-    )
-    told = dealt.join(mine, "doc_id", "left")
-    windows = told.filter(F.size("runs") > 0).select("doc_id", "text", "runs").mapInArrow(_windows(depth), ROWS)
-    last = windows.repartition(n, "digit", "tail").sortWithinPartitions("digit", "tail", "doc_id", "start").mapInArrow(lambda batches: _compare(batches, True), ROWS)
-    late = last.filter("kind = 1").groupBy("doc_id").agg(F.collect_list(F.struct("start", "len")).alias("late"))
+    some = second.filter("kind = 2").groupBy("doc_id").agg(F.collect_list(F.struct("start", "len", "digit")).alias("runs"))
+    spans = dealt.join(some, "doc_id").select("doc_id", "text", "runs").mapInArrow(_spans, SPANS)
+    third = spans.repartition(n, "digit").sortWithinPartitions("digit").mapInArrow(_settle_windows(depth), ROWS)
+    last = third.repartition(n, "digit", "tail").sortWithinPartitions("digit", "tail", "doc_id", "start").mapInArrow(lambda batches: _compare(batches, True), ROWS)
+    gone = second.filter("kind = 1").select("doc_id", "start", "len").unionByName(last.filter("kind = 1").select("doc_id", "start", "len"))
+    mine = gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "len")).alias("spans"))
     none = F.array().cast("array<struct<start:int,len:int>>")
-    return told.join(late, "doc_id", "left").select("doc_id", "text", F.concat(F.coalesce("gone", none), F.coalesce("late", none)).alias("spans"))
+    return dealt.join(mine, "doc_id", "left").select("doc_id", "text", F.coalesce("spans", none).alias("spans"))
 
 
 def _cut(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:
