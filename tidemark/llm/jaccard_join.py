@@ -12,12 +12,15 @@ when it has fewer; nothing when it has none).  Documents link when
 3. Within blocks of documents that share one of their first three shingles,
    links are found at once and joined to components.  This settles nearly all
    documents of a large group of copies without a look at all of its pairs.
-4. Shingle groups of the prefixes that still span several components are
-   searched with signature trees: nodes hold the OR of their members' token
-   bitmaps and their size range, and a dual traversal drops pairs of nodes whose
-   greatest possible overlap is too small, or that lie in one component.  A
-   group beyond GROUP_ROWS is dealt into blocks, and pairs of blocks are searched.
-5. What is left is compared shingle by shingle, and the links join components.
+4. Shingle groups of the prefixes that still span several components are taken
+   together by their smallest document to families, so that a document comes once
+   where it shares many shingles.  Families are searched with signature trees:
+   nodes hold the OR of their members' token bitmaps and their size range, and a
+   dual traversal drops pairs of nodes whose greatest possible overlap is too
+   small, or that lie in one component.  A family beyond GROUP_ROWS is dealt into
+   blocks, and pairs of blocks are searched.
+5. Documents with a pair left are searched once more with their texts, by wider
+   bitmaps and then shingle by shingle, and the links join components.
 
 Edge cases: null text is empty; documents without words have an empty set and
 link with nothing; rows with null ids are left out; rows that share an id are
@@ -35,13 +38,13 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .frames import materialise, shuffle_partitions, texts_by_id
-from .textbuf import LOWER, RollingHash, column_bytes, mix, ranges, slices, words
+from .textbuf import LOWER, RollingHash, column_bytes, mix, slices, words
 
 WORDS, PERCENT = 5, 75
 #: Documents looked at for the order of shingles, and how many of them make a shingle widespread.
 ORDER_SAMPLE, WIDESPREAD, ORDER_TOKENS = 4096, 8, 50_000
 #: Documents and shingles in a block of step 3; rows in a group of step 4 that one task searches.
-BLOCK_DOCS, BLOCK_SHINGLES, GROUP_ROWS = 64, 2_000_000, 20_000
+BLOCK_DOCS, BLOCK_SHINGLES, GROUP_ROWS = 64, 2_000_000, 4000
 FIRST = 3
 #: Ids are broadcast as a filter up to this many (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 500_000
@@ -80,9 +83,9 @@ def prefix_length(n: np.ndarray | int, percent: int = PERCENT):
     return n - (percent * n + 99) // 100 + 1
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """A power of two of bits, at least twice the tokens; half as wide a bitmap is the OR of its halves."""
-    width = max(64, 1 << int(2 * len(tokens) - 1).bit_length())
+def bitmap(tokens: np.ndarray, spare: int = 2) -> np.ndarray:
+    """A power of two of bits, at least ``spare`` for a token; half as wide a bitmap is the OR of its halves."""
+    width = max(64, 1 << int(spare * len(tokens) - 1).bit_length())
     bits = np.zeros(width // 8, np.uint8)
     at = (tokens & np.uint64(width - 1)).astype(np.int64)
     np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
@@ -304,63 +307,70 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = np.frombuffer(np.ascontiguousarray(data).tobytes(), np.int64)
         step = 200_000
         owner = np.repeat(np.arange(len(doc)), np.diff(at))
-        place = ranges(np.zeros(len(doc), np.int64), np.diff(at))
         for i in range(0, len(tokens), step):
             o = owner[i : i + step]
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[i : i + step]), pa.array(doc[o]), pa.array(comp[o]), pa.array((n[o] << 32) | place[i : i + step])], names=["token", "doc_id", "component", "n_place"])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[i : i + step]), pa.array(doc[o]), pa.array(comp[o]), pa.array(n[o])], names=["token", "doc_id", "component", "n"])
 
 
-def _search_groups(percent: int):
+def _survivors(percent: int):
+    """Documents of a block that may link with one of another component."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, x, y), rows in _consecutive(batches, 3):
+        for key, rows in _consecutive(batches, 3):
             maps = [np.frombuffer(b, np.uint64) for b in rows["bits"]]
-            packed, docs, comps, side = (np.array(rows[k], np.int64) for k in ("n_place", "doc_id", "component", "side"))
-            sizes, place = packed >> 32, packed & 0xFFFFFFFF
+            docs, comps, side, sizes = (np.array(rows[k], np.int64) for k in ("doc_id", "component", "side", "n"))
+            live = np.zeros(len(docs), bool)
             for i, j in candidate_pairs(maps, sizes, comps, percent):
-                total = sizes[i] + sizes[j]
-                ok = _may_link(np.minimum(sizes[i] - place[i], sizes[j] - place[j]), total, percent)
-                if x != y:
-                    ok &= side[i] != side[j]
-                if ok.any():
-                    a, b = docs[i[ok]], docs[j[ok]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                ok = (side[i] != side[j]) | (key[1] == key[2])
+                live[i[ok]] = live[j[ok]] = True
+            if live.any():
+                n = int(live.sum())
+                yield pa.RecordBatch.from_arrays([*(pa.array([k] * n, t) for k, t in zip(key, (pa.int64(), pa.int32(), pa.int32()))), pa.array(side[live].astype(np.int32)), pa.array(docs[live]), pa.array(comps[live])], names=["family", "x", "y", "side", "doc_id", "component"])
 
     return run
 
 
-def _candidates(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
-    """Step 4.  placed: (doc_id, component, n, prefix) of each class."""
-    n = shuffle_partitions(sets.sparkSession)
-    rows = placed.select("doc_id", "component", "n", "prefix").mapInArrow(_prefix_rows, "token long, doc_id long, component long, n_place long")
-    own = Window.partitionBy("token")
-    mixed = rows.withColumn("lo", F.min("component").over(own)).withColumn("hi", F.max("component").over(own)).withColumn("members", F.count("*").over(own)).filter("lo < hi").drop("lo", "hi")
-    mixed = materialise(mixed, "mixed")
-    blocks = F.ceil(F.col("members") / GROUP_ROWS).cast("int")
-    mine = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = mixed.withColumn("blocks", blocks).withColumn("side", mine).withColumn("other", other)
-    dealt = dealt.select("token", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "doc_id", "component", "n_place", "side")
-    bits = _only(sets.select("doc_id", "bits"), mixed.select("doc_id").distinct())
-    told = dealt.join(bits, "doc_id").select("token", "x", "y", "doc_id", "component", "n_place", "side", "bits")
-    return told.repartition(n, "token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(_search_groups(percent), "a long, b long").distinct()
-
+def _link_families(n: int, percent: int):
+    """Links between components, compared exactly."""
 
-def _verify(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (a, b), pair in _consecutive(batches, 2):
-            flat, at = shingle_sets(*column_bytes(pa.array(pair["text"], pa.string())), n)
-            if len(at) == 3 and links(flat[: at[1]], flat[at[1] :], percent):
-                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([b], pa.int64())], names=["a", "b"])
+        for (_, x, y), rows in _consecutive(batches, 3):
+            docs, comps, side = (np.array(rows[k], np.int64) for k in ("doc_id", "component", "side"))
+            flat, at = shingle_sets(*column_bytes(pa.array(rows["text"], pa.large_string())), n)
+            sets = [flat[at[k] : at[k + 1]] for k in range(len(docs))]
+            _, own = np.unique(comps, return_inverse=True)
+            union, out = Union(int(own.max()) + 1), []
+            for i, j in candidate_pairs([bitmap(s, 8) for s in sets], np.diff(at), comps, percent):
+                ok = (side[i] != side[j]) | (x == y)
+                for p, q in zip(i[ok].tolist(), j[ok].tolist()):
+                    a, b = union.top(int(own[p])), union.top(int(own[q]))
+                    if a != b and links(sets[p], sets[q], percent):
+                        union.join(a, b)
+                        out.append((int(docs[p]), int(docs[q])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Step 5."""
-    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
-    told = _only(texts, sides.select("doc_id").distinct()).join(sides, "doc_id").select("a", "b", "text")
-    dealt = told.repartition(shuffle_partitions(texts.sparkSession), "a", "b").sortWithinPartitions("a", "b")
-    return dealt.mapInArrow(_verify(n, percent), "a long, b long")
+def _later_links(texts: DataFrame, sets: DataFrame, placed: DataFrame, n: int, percent: int) -> DataFrame:
+    """Steps 4 and 5.  placed: (doc_id, component, n, prefix) of each class."""
+    parts = shuffle_partitions(sets.sparkSession)
+    rows = placed.select("doc_id", "component", "n", "prefix").mapInArrow(_prefix_rows, "token long, doc_id long, component long, n long")
+    token, family = Window.partitionBy("token"), Window.partitionBy("family")
+    mixed = rows.withColumn("lo", F.min("component").over(token)).withColumn("hi", F.max("component").over(token)).withColumn("family", F.min("doc_id").over(token)).filter("lo < hi")
+    mixed = mixed.select("family", "doc_id", "component", "n").distinct()
+    blocks = F.ceil(F.greatest(F.count("*").over(family) / GROUP_ROWS, F.sum("n").over(family) / BLOCK_SHINGLES)).cast("int")
+    mixed = materialise(mixed.withColumn("blocks", blocks), "families")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = mixed.withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", other)
+    dealt = dealt.select("family", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "doc_id", "component", "n")
+    bits = _only(sets.select("doc_id", "bits"), mixed.select("doc_id").distinct())
+    told = dealt.join(bits, "doc_id").select("family", "x", "y", "side", "doc_id", "component", "n", "bits")
+    live = told.repartition(parts, "family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(_survivors(percent), "family long, x int, y int, side int, doc_id long, component long")
+    live = materialise(live, "live")
+    full = _only(texts, live.select("doc_id").distinct()).join(live, "doc_id").select("family", "x", "y", "side", "doc_id", "component", "text")
+    return full.repartition(parts, "family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(_link_families(n, percent), "a long, b long")
 
 
 def near_duplicate_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -376,8 +386,7 @@ def near_duplicate_components(docs: DataFrame, n: int = WORDS, percent: int = PE
     edges = materialise(_first_links(texts, lone(some.select("doc_id", "n", "first")), n, percent), "links")
     found = components(edges)
     placed = lone(some.select("doc_id", "n", "prefix")).join(_maybe_broadcast(found.withColumnRenamed("id", "doc_id")), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    pairs = materialise(_candidates(sets, placed, percent), "pairs")
-    more = materialise(_verified(texts, pairs, n, percent), "links")
+    more = materialise(_later_links(texts, sets, placed, n, percent), "links")
     if more.limit(1).count():
         found = components(edges.unionByName(more))
     merged = sets.select("doc_id", F.col("n").alias("n_shingles")).join(classes, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
