@@ -4,7 +4,7 @@ A pair of bytes that no token of the vocabulary holds side by side can never be
 merged, so a cut between them is certain.  Text is cut at those pairs whose
 second byte is ASCII white space and whose first is not white space; there the
 pre-tokenizer always starts anew as well, whatever stands on either side.  Equal
-fragments are encoded once per worker, and the ids of a text are the
+fragments are encoded once per task, and the ids of a text are the
 concatenation of the ids of its fragments.
 
 Edge cases: a null or empty text gives no ids and decodes to the empty text;
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .textbuf import SPACE, RollingHash, column_bytes, ranges, slices
 
 #: Ids kept by a worker for fragments that it has met (4 bytes each); then it starts afresh.
-CACHE_IDS = 12_000_000
+CACHE_IDS = 6_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -83,6 +83,11 @@ class Codec:
         self.store = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
+    def close(self) -> None:
+        """Gives back what was learned; Spark keeps the process for other tasks, which need the memory."""
+        self._forget()
+        pa.default_memory_pool().release_unused()
+
     def _learn(self, prints: np.ndarray, texts: list[str]) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
@@ -136,6 +141,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
                 out = [codec.decode(ids[a:b]).tobytes().decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:])]
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists, pa.array(out, pa.string())], names=["doc_id", "ids", "decoded"])
+        codec.close()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
@@ -158,5 +164,6 @@ def digest_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
                     raw = back[ends[k] : ends[k + 1]].tobytes()
                     texts.append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(digests, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.close()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
