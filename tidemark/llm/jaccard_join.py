@@ -49,6 +49,8 @@ FIRST = 3
 #: Ids are broadcast as a filter up to this many (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 500_000
 LEAF = 16
+#: Rows of an Arrow batch that are Python objects at once.
+DECODED_ROWS = 256
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +80,16 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> tuple
     return value, np.searchsorted(row, np.arange(rows + 1))
 
 
+def set_list(texts: list[str], n: int = WORDS) -> list[np.ndarray]:
+    """The shingle set of each text, found a few MB of text at a time."""
+    data, offsets = column_bytes(pa.array(texts, pa.large_string()))
+    out = []
+    for i, j in slices(offsets):
+        flat, at = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)
+        out += [flat[a:b].copy() for a, b in zip(at[:-1], at[1:])]
+    return out
+
+
 def prefix_length(n: np.ndarray | int, percent: int = PERCENT):
     """Shingles of a set of n of which any linked set has at least one."""
     return n - (percent * n + 99) // 100 + 1
@@ -247,15 +259,15 @@ def _consecutive(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple
     """Rows with equal values in the first columns, which arrive together; a group is as small as its block."""
     key, held = None, None
     for batch in batches:
-        columns = batch.to_pydict()
-        names = list(columns)
-        for row in zip(*columns.values()):
-            if row[:keys] != key:
-                if held:
-                    yield key, held
-                key, held = row[:keys], {x: [] for x in names[keys:]}
-            for x, v in zip(names[keys:], row[keys:]):
-                held[x].append(v)
+        names = batch.schema.names
+        for at in range(0, batch.num_rows, DECODED_ROWS):
+            for row in zip(*batch.slice(at, DECODED_ROWS).to_pydict().values()):
+                if row[:keys] != key:
+                    if held:
+                        yield key, held
+                    key, held = row[:keys], {x: [] for x in names[keys:]}
+                for x, v in zip(names[keys:], row[keys:]):
+                    held[x].append(v)
     if held:
         yield key, held
 
@@ -266,9 +278,8 @@ def _link_blocks(n: int, percent: int):
             docs = block["doc_id"]
             if len(docs) < 2:
                 continue
-            flat, at = shingle_sets(*column_bytes(pa.array(block["text"], pa.string())), n)
-            sets = [flat[at[k] : at[k + 1]] for k in range(len(docs))]
-            sizes, union = np.diff(at), Union(len(docs))
+            sets = set_list(block.pop("text"), n)
+            sizes, union = np.array([len(s) for s in sets]), Union(len(docs))
             for i, j in candidate_pairs([bitmap(s) for s in sets], sizes, np.arange(len(docs)), percent):
                 for x, y in zip(i.tolist(), j.tolist()):
                     a, b = union.top(x), union.top(y)
@@ -336,11 +347,10 @@ def _link_families(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, x, y), rows in _consecutive(batches, 3):
             docs, comps, side = (np.array(rows[k], np.int64) for k in ("doc_id", "component", "side"))
-            flat, at = shingle_sets(*column_bytes(pa.array(rows["text"], pa.large_string())), n)
-            sets = [flat[at[k] : at[k + 1]] for k in range(len(docs))]
+            sets = set_list(rows.pop("text"), n)
             _, own = np.unique(comps, return_inverse=True)
             union, out = Union(int(own.max()) + 1), []
-            for i, j in candidate_pairs([bitmap(s, 8) for s in sets], np.diff(at), comps, percent):
+            for i, j in candidate_pairs([bitmap(s, 8) for s in sets], np.array([len(s) for s in sets]), comps, percent):
                 ok = (side[i] != side[j]) | (x == y)
                 for p, q in zip(i[ok].tolist(), j[ok].tolist()):
                     a, b = union.top(int(own[p])), union.top(int(own[q]))
