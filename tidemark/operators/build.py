@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import cell
 from ..plans.layout import layout
 
-#: Time slices of a stream that are numbered side by side.
-SLICES = 64
+#: Elements that a time slice of a stream should have, and the most slices of a stream.
+SLICE_ELEMENTS, MOST_SLICES = 5_000, 1_000_000
 #: Layout and slice tables are broadcast up to this many rows of 32 bytes, beyond which they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 CMS, BLOOM = (5, 1000), (5, 32768)
@@ -29,20 +29,47 @@ def checked(elements: DataFrame, policy: str = "drop") -> DataFrame:
     return first.select("stream_id", "ts", "v.value", "v.is_landmark")
 
 
+def sliced(elements: DataFrame) -> DataFrame:
+    """Adds the slice of time of each element: the unit of work on a stream, so that one long stream is not one task."""
+    span = _small(elements.groupBy("stream_id").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.count("*").alias("k")))
+    parts = F.least(F.ceil(F.col("k") / SLICE_ELEMENTS), F.lit(MOST_SLICES))
+    width = F.greatest(F.ceil((F.col("t1") - F.col("t0") + 1) / parts), F.lit(1))
+    return elements.join(span, "stream_id").withColumn("slice", F.floor((F.col("ts") - F.col("t0")) / width)).drop("t0", "t1", "k")
+
+
+def neighbours(elements: DataFrame, *carried: str) -> DataFrame:
+    """Adds prev and next, the times before and after in the stream, and prev_x for each carried column x.
+
+    Slices are worked on side by side; at their edges stand the nearest elements
+    of the slices around.
+    """
+    told, by_slice = sliced(elements), Window.partitionBy("stream_id").orderBy("slice")
+    per = told.groupBy("stream_id", "slice").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), *(F.max_by(c, "ts").alias(f"last_{c}") for c in carried))
+    edge = per.select("stream_id", "slice", F.lag("last").over(by_slice).alias("edge_prev"), F.lead("first").over(by_slice).alias("edge_next"), *(F.lag(f"last_{c}").over(by_slice).alias(f"edge_{c}") for c in carried))
+    own = Window.partitionBy("stream_id", "slice").orderBy("ts")
+    near = {"prev": F.coalesce(F.lag("ts").over(own), "edge_prev"), "next": F.coalesce(F.lead("ts").over(own), "edge_next")}
+    near |= {f"prev_{c}": F.coalesce(F.lag(c).over(own), f"edge_{c}") for c in carried}
+    return told.join(_small(edge), ["stream_id", "slice"]).withColumns(near).drop("edge_prev", "edge_next", *(f"edge_{c}" for c in carried))
+
+
+def before_slice(per: DataFrame, *totals: str) -> DataFrame:
+    """Of a table by stream and slice, the totals over the slices before."""
+    earlier = Window.partitionBy("stream_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    return _small(per.select("stream_id", "slice", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in totals)))
+
+
 def numbered(elements: DataFrame) -> DataFrame:
     """Adds c, the element's count in its stream from 0, and n, the stream's length.
 
     A stream is cut into slices of time, which are numbered side by side and then
     shifted by the number of elements before, so one long stream is not one task.
     """
-    span = _small(elements.groupBy("stream_id").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1")))
-    width = F.greatest(F.ceil((F.col("t1") - F.col("t0") + 1) / SLICES), F.lit(1))
-    sliced = elements.join(span, "stream_id").withColumn("slice", F.floor((F.col("ts") - F.col("t0")) / width)).drop("t0", "t1")
-    per = sliced.groupBy("stream_id", "slice").agg(F.count("*").alias("k"))
+    told = sliced(elements)
+    per = told.groupBy("stream_id", "slice").agg(F.count("*").alias("k"))
     before = Window.partitionBy("stream_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     shift = per.select("stream_id", "slice", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("shift"), F.sum("k").over(Window.partitionBy("stream_id")).alias("n"))
     own = Window.partitionBy("stream_id", "slice").orderBy("ts")
-    return sliced.withColumn("r", F.row_number().over(own) - 1).join(_small(shift), ["stream_id", "slice"]).select("stream_id", "ts", "value", "is_landmark", "n", "slice", "shift", (F.col("r") + F.col("shift")).alias("c"))
+    return told.withColumn("r", F.row_number().over(own) - 1).join(_small(shift), ["stream_id", "slice"]).select("stream_id", "ts", "value", "is_landmark", "n", "slice", "shift", (F.col("r") + F.col("shift")).alias("c"))
 
 
 def layouts(sizes: DataFrame, spec: str, buffer: int = 0) -> DataFrame:
@@ -121,8 +148,7 @@ def dyadic_nodes(low: int, high: int) -> list[tuple[int, int]]:
 
 def stream_stats(elements: DataFrame) -> DataFrame:
     """Count, first and last time, and mean, sample deviation and variation of gaps and values, landmarks included."""
-    gap = F.col("ts") - F.lag("ts").over(Window.partitionBy("stream_id").orderBy("ts"))
-    s = elements.withColumn("gap", gap).groupBy("stream_id").agg(
+    s = neighbours(elements).withColumn("gap", F.col("ts") - F.col("prev")).groupBy("stream_id").agg(
         F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
         F.avg("gap").alias("gap_mean"), F.stddev_samp("gap").alias("gap_sd"), F.avg("value").alias("value_mean"), F.stddev_samp("value").alias("value_sd"),
     )
@@ -133,13 +159,22 @@ def stream_stats(elements: DataFrame) -> DataFrame:
 
 def landmark_windows(elements: DataFrame, threshold: int) -> DataFrame:
     """Runs of values at or above a threshold: start = the time before + 1, stop = the next normal time - 1 (open end: null)."""
-    w = Window.partitionBy("stream_id").orderBy("ts")
-    told = elements.withColumn("hot", F.col("value") >= threshold).withColumn("prev", F.lag("ts").over(w)).withColumn("next", F.lead("ts").over(w)).withColumn("was", F.coalesce(F.lag("hot").over(w), F.lit(False)))
-    runs = told.withColumn("run", F.sum((F.col("hot") & ~F.col("was")).cast("int")).over(w)).filter("hot")
+    hot = neighbours(elements.withColumn("hot", F.col("value") >= threshold), "hot").filter("hot")
+    hot = hot.withColumn("starts", F.coalesce(~F.col("prev_hot"), F.lit(True)).cast("long"))
+    shift = before_slice(hot.groupBy("stream_id", "slice").agg(F.sum("starts").alias("starts")), "starts")
+    run = F.sum("starts").over(Window.partitionBy("stream_id", "slice").orderBy("ts")) + F.col("starts_before")
+    runs = hot.join(shift, ["stream_id", "slice"]).withColumn("run", run)
     return runs.groupBy("stream_id", "run").agg((F.coalesce(F.min("prev"), F.min("ts") - 1) + 1).alias("ts"), (F.max_by("next", "ts") - 1).alias("te"), F.count("*").alias("n_values"), F.sum("value").alias("sum_values")).drop("run")
 
 
 def deviation_landmarks(elements: DataFrame, deviations: float) -> DataFrame:
     """Marks values further from the running mean of those before than so many running deviations."""
-    w = Window.partitionBy("stream_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    return elements.withColumn("m", F.avg("value").over(w)).withColumn("s", F.stddev_samp("value").over(w)).withColumn("is_landmark", F.coalesce(F.abs(F.col("value") - F.col("m")) > deviations * F.col("s"), F.lit(False))).drop("m", "s")
+    told, v = sliced(elements), F.col("value").cast("decimal(19,0)")
+    told = told.withColumns({"one": F.lit(1).cast("long"), "v": v, "vv": (v * v).cast("decimal(38,0)")})
+    shift = before_slice(told.groupBy("stream_id", "slice").agg(*(F.sum(c).alias(c) for c in ("one", "v", "vv"))), "one", "v", "vv")
+    earlier = Window.partitionBy("stream_id", "slice").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    n, s, ss = ((F.coalesce(F.sum(c).over(earlier), F.lit(0)) + F.col(f"{c}_before")).cast("double") for c in ("one", "v", "vv"))
+    told = told.join(shift, ["stream_id", "slice"]).withColumns({"n": n, "s": s, "ss": ss})
+    mean, sd = F.col("s") / F.col("n"), F.sqrt(F.greatest((F.col("ss") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1), F.lit(0.0)))
+    far = F.when(F.col("n") > 1, F.abs(F.col("value") - mean) > deviations * sd)
+    return told.withColumn("is_landmark", F.coalesce(far, F.lit(False))).select(*elements.columns, *([] if "is_landmark" in elements.columns else ["is_landmark"]))

@@ -20,9 +20,8 @@ def events(spark: SparkSession, sf_dir: str, key: str | None = None) -> DataFram
 
 
 def without_repeats(elements: DataFrame) -> DataFrame:
-    """Drops an element whose time equals that of the one before."""
-    before = F.lag("ts").over(Window.partitionBy("stream_id").orderBy("ts", "value"))
-    return elements.withColumn("before", before).filter("before is null or before != ts").drop("before")
+    """Of elements of a stream at the same time, the one with the smallest value."""
+    return elements.groupBy("stream_id", "ts").agg(F.min("value").alias("value"))
 
 
 def csv(spark: SparkSession, path: str, stream_id: int = 0, t0: int = 0, t1: int = (1 << 62)) -> DataFrame:
