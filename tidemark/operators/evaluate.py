@@ -37,6 +37,32 @@ def histogram_cdf(frame: DataFrame, column: str, low: float, high: float, bins:
     return every.select("bin", (F.lit(low) + (F.col("bin") + 1) * ((high - low) / bins)).alias("edge"), "n", (F.sum("n").over(run) / F.sum("n").over(Window.partitionBy())).alias("cdf"))
 
 
+def mixture_cdf(parts: list[tuple[DataFrame, float]]) -> DataFrame:
+    """The distribution of a weighted mixture of histograms with the same bins: (bin, edge, cdf)."""
+    total, told = sum(w for _, w in parts), None
+    for h, w in parts:
+        h = h.select("bin", "edge", (F.col("cdf") * (w / total)).alias("cdf"))
+        told = h if told is None else told.unionByName(h)
+    return told.groupBy("bin", "edge").agg(F.sum("cdf").alias("cdf"))
+
+
+def cdf_quantile(histogram: DataFrame, q: float) -> DataFrame:
+    """quantile: halfway between the last edge whose share is q or less and the first whose share is q or more."""
+    found = histogram.agg(F.max(F.when(F.col("cdf") <= q, F.col("edge"))).alias("low"), F.min(F.when(F.col("cdf") >= q, F.col("edge"))).alias("high"))
+    return found.select(((F.coalesce("low", "high") + F.coalesce("high", "low")) / 2).alias("quantile"))
+
+
+def mixture_stats(parts: list[tuple[DataFrame, float]]) -> DataFrame:
+    """Mean, deviation and range of a weighted mixture of observation_stats()."""
+    total, told = sum(w for _, w in parts), None
+    for s, w in parts:
+        s = s.withColumn("w", F.lit(w / total))
+        told = s if told is None else told.unionByName(s)
+    mean = F.sum(F.col("w") * F.col("mean"))
+    square = F.sum(F.col("w") * (F.col("sd") * F.col("sd") + F.col("mean") * F.col("mean")))
+    return told.agg(F.sum("n").alias("n"), mean.alias("mean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("sd"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
 def outlier_bins(elements: DataFrame, width: int, threshold: int) -> DataFrame:
     """Bins of time whose sum differs from the bin before by more than a threshold."""
     per = elements.groupBy("stream_id", F.floor(F.col("ts") / width).alias("bin")).agg(F.sum("value").alias("total"))

@@ -46,6 +46,28 @@ def fixed_bins(spark: SparkSession, t0: int, t1: int, width: int) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("qid"), (t1 - (F.col("id") + 1) * width + 1).alias("l"), (t1 - F.col("id") * width).alias("r"))
 
 
+def forward_bins(spark: SparkSession, t0: int, t1: int, ticks: int) -> DataFrame:
+    """[t, t + ticks] for each step of ticks from t0 on that ends by t1."""
+    n = max(0, (t1 - t0) // ticks)
+    return spark.range(n).select(F.col("id").alias("qid"), (t0 + F.col("id") * ticks).alias("l"), (t0 + (F.col("id") + 1) * ticks).alias("r"))
+
+
+def fixed_length_workload(workload: DataFrame, seconds: int) -> DataFrame:
+    """The queries of one length, at every age."""
+    return workload.filter(F.col("length") == seconds)
+
+
+def frequency_workload(workload: DataFrame, values: DataFrame, n: int, step: int) -> DataFrame:
+    """Every query for each of n values of falling popularity: of (value), those of ranks 1, 1 + step, 1 + 2 step and so on.
+
+    Values are counted before they are ranked, and n rows, no more, come to the driver.
+    """
+    top = values.groupBy("value").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "value").limit((n - 1) * step + 1)
+    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("k"), "value"))).filter((F.col("rank") - 1) % step == 0).collect()
+    each = F.array(*(F.struct(F.lit(r["rank"]).alias("rank"), F.lit(r["value"]).cast("long").alias("value")) for r in ranked))
+    return workload.select("*", F.inline(each)) if ranked else workload.selectExpr("*", "0 as rank", "0L as value").limit(0)
+
+
 def true_answers(queries: DataFrame, elements: DataFrame, slice_width: int) -> DataFrame:
     """Exact count, sum and max of each interval (qid, stream_id, l, r).
 

@@ -189,7 +189,7 @@ def distinct_values(spark, sf_dir):
     e = _kinds(spark, sf_dir)
     q = _days(e).groupBy("stream_id").agg(F.min("qid").alias("qid"), F.min("l").alias("l"), F.max("r").alias("r")).withColumn("l", F.lit(0).cast("long"))
     a = estimator.distinct_count(q, build.build_windows(e, EXP), build.stream_stats(e))
-    return a.crossJoin(F.broadcast(e.agg(F.countDistinct("value").alias("truth")))).select("truth", (F.abs(F.col("result") - F.col("truth")) <= 0.1 * F.col("truth")).alias("near"))
+    return a.join(q.select("qid", F.lit(e.agg(F.countDistinct("value")).first()[0]).alias("truth")), "qid").select("truth", (F.abs(F.col("result") - F.col("truth")) <= 0.1 * F.col("truth")).alias("near"))
 
 
 def value_quantile(spark, sf_dir):
@@ -205,8 +205,8 @@ def range_frequency(spark, sf_dir):
     w = estimator.with_range_counts(build.build_windows(e, EXP), 10, 49)
     q = e.agg(F.min("ts").alias("l"), F.max("ts").alias("r")).select(F.lit(0).cast("long").alias("qid"), F.lit(0).cast("long").alias("stream_id"), "l", "r")
     a = estimator.estimate(q, w, build.stream_stats(e), "in_range", estimator.count_multiplier())
-    t = e.agg(F.sum(F.col("value").between(10, 49).cast("long")).alias("truth"))
-    return a.crossJoin(F.broadcast(t)).select("truth", (F.abs(F.col("result") - F.col("truth")) <= 0.05 * F.col("truth") + 20).alias("near"))
+    t = e.agg(F.sum(F.col("value").between(10, 49).cast("long")).alias("truth")).withColumn("qid", F.lit(0).cast("long"))
+    return a.join(t, "qid").select("truth", (F.abs(F.col("result") - F.col("truth")) <= 0.05 * F.col("truth") + 20).alias("near"))
 
 
 def dyadic_range_count(spark, sf_dir):
@@ -254,12 +254,57 @@ def interval_sum_landmarks(spark, sf_dir):
     return _rounded(_estimated(spark, sf_dir, POWER, "sum", hot=True)[1])
 
 
+def landmark_operations(spark, sf_dir):
+    """Events written as a stream of operations, and read back."""
+    e = _elements(spark, sf_dir)
+    back, _ = streams.from_operations(streams.to_operations(e, build.landmark_windows(e, HOT)))
+    return back.groupBy("is_landmark").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def operation_landmarks(spark, sf_dir):
+    e = _elements(spark, sf_dir)
+    return streams.from_operations(streams.to_operations(e, build.landmark_windows(e, HOT)))[1].select("ts", "te")
+
+
+def _halves(spark, sf_dir):
+    e = _elements(spark, sf_dir, key="event_id % 2")
+    return [(e.filter(F.col("stream_id") == k), w) for k, w in ((0, 0.25), (1, 0.75))]
+
+
+def mixture_distribution(spark, sf_dir):
+    m = evaluate.mixture_cdf([(evaluate.histogram_cdf(e, "value", 0, 30_000, 100), w) for e, w in _halves(spark, sf_dir)])
+    return m.select("bin", F.round("cdf", 9).alias("cdf"))
+
+
+def mixture_statistics(spark, sf_dir):
+    m = evaluate.mixture_stats([(evaluate.observation_stats(e, "value"), w) for e, w in _halves(spark, sf_dir)])
+    return m.select("n", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"), "low", "high")
+
+
+def histogram_median(spark, sf_dir):
+    return evaluate.cdf_quantile(evaluate.histogram_cdf(_elements(spark, sf_dir), "value", 0, 30_000, 100), 0.5)
+
+
+def backup_workload(spark, sf_dir):
+    return workload.fixed_length_workload(calendar_workload(spark, sf_dir), DAY // SECOND)
+
+
+def forward_bins(spark, sf_dir):
+    return workload.forward_bins(spark, *_span(_elements(spark, sf_dir)), HOUR)
+
+
+def frequency_workload(spark, sf_dir):
+    """One-day queries at every age for eight dollar amounts of falling popularity."""
+    return workload.frequency_workload(backup_workload(spark, sf_dir), _kinds(spark, sf_dir), 8, 2).select("age", "l", "r", "rank", "value")
+
+
 QUERIES: dict[str, Query] = {
     "windows_exponential": _windows(EXP), "windows_power": _windows(POWER), "windows_power_wide": _windows("rationalPower1,1,2,1"), "windows_buffered": _windows(EXP, 511), "windows_landmarks": _windows(POWER, 0, True), "true_answers": _truth("count"),
 } | {f.__name__: f for f in (
     exact_by_day, interval_filter, stream_statistics, window_layout, window_counts, interval_count, interval_sum, interval_count_bounds, interval_count_landmarks, interval_sum_landmarks, interval_max, max_threshold, interval_mean,
     landmark_windows, deviation_landmarks, error_profile, error_trend, calendar_workload, sampled_workload, fixed_bins, outlier_days, value_histogram, observation_statistics, rms_of_estimates,
     cms_frequency, bloom_membership, distinct_values, value_quantile, range_frequency, dyadic_range_count, repeated_stream, repeats_dropped, sliding_sums,
+    landmark_operations, operation_landmarks, mixture_distribution, mixture_statistics, histogram_median, backup_workload, forward_bins, frequency_workload,
 )}
 
 
@@ -314,11 +359,25 @@ cal AS (SELECT a.bin age_class, b.bin length_class, CAST(a.span AS BIGINT) age,
 _WSEL = 'SELECT cs, ce, ts, te, "count", "sum", "max" FROM win'
 
 
+_HALVES = """x AS (SELECT event_id % 2 AS s, CAST(round(value * 100) AS BIGINT) AS v, CASE event_id % 2 WHEN 0 THEN 0.25::DOUBLE ELSE 0.75::DOUBLE END AS w FROM events)"""
+_CDF = """p AS (SELECT {s} AS s, least(greatest(floor(v / 300.0), 0), 99) AS k, any_value(w) AS w, count(*) AS n FROM x GROUP BY ALL), g AS (SELECT s, w, CAST(k AS DOUBLE) AS k FROM (SELECT DISTINCT s, first(w) OVER (PARTITION BY s) AS w FROM p), (SELECT unnest(range(100)) AS k)),
+c AS (SELECT g.s, g.w, g.k, sum(coalesce(n, 0)) OVER (PARTITION BY g.s ORDER BY g.k) / sum(coalesce(n, 0)) OVER (PARTITION BY g.s) AS cdf FROM g LEFT JOIN p ON p.s = g.s AND p.k = g.k)"""
+
+
 def _oracles() -> dict[str, str]:
     power, p_lay = _est(POWER, "count"), ", ".join(f"({a}, {b})" for a, b in layout(POWER, SQL_N))
     errors = "er AS (SELECT abs(result - true_count) / (true_count + 1) x, (ci_high - ci_low) / (true_count + 1) wd, CASE WHEN true_count < ci_low - 1e-9 OR true_count > ci_high + 1e-9 THEN 1.0 ELSE 0.0 END ms FROM est JOIN tr USING (qid))"
     trend = _est(EXP, "count").replace(_Q, _Q.replace(f"(ts // {DAY}) * {DAY} + {6 * HOUR} AS l, (ts // {DAY}) * {DAY} + {6 * HOUR + DAY - 1} AS r", f"CAST(0 AS BIGINT) AS l, (ts // {DAY}) * {DAY} + {6 * HOUR} AS r"))
     return {
+        "landmark_operations": f"WITH {_E} SELECT hot AS is_landmark, count(*) AS n, CAST(sum(value) AS BIGINT) AS total FROM e GROUP BY 1",
+        "operation_landmarks": f"WITH {_E}, {_LM} SELECT ts, te FROM lm",
+        "mixture_distribution": f"WITH {_HALVES}, {_CDF.format(s='s')} SELECT CAST(k AS BIGINT) AS bin, round(sum(cdf * w), 9) AS cdf FROM c GROUP BY k",
+        "mixture_statistics": f"""WITH {_HALVES}, p AS (SELECT any_value(w) AS w, count(*) AS n, avg(v) AS m, var_samp(v) AS vr, min(v) AS lo, max(v) AS hi FROM x GROUP BY s)
+            SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(w * m), 4) AS mean, round(sqrt(sum(w * (vr + m * m)) - sum(w * m) * sum(w * m)), 4) AS sd, min(lo) AS low, max(hi) AS high FROM p""",
+        "histogram_median": f"WITH {_HALVES}, {_CDF.format(s='0')} SELECT (max(CASE WHEN cdf <= 0.5 THEN (k + 1) * 300.0::DOUBLE END) + min(CASE WHEN cdf >= 0.5 THEN (k + 1) * 300.0::DOUBLE END)) / 2 AS quantile FROM c",
+        "backup_workload": f"WITH {_CAL} SELECT * FROM cal WHERE l >= (SELECT t0 FROM s) AND length = {DAY // SECOND}",
+        "forward_bins": f"WITH {_E}, s AS (SELECT min(ts) t0, max(ts) t1 FROM e) SELECT k AS qid, t0 + k * {HOUR} AS l, t0 + (k + 1) * {HOUR} AS r FROM (SELECT t0, unnest(range((t1 - t0) // {HOUR})) AS k FROM s)",
+        "frequency_workload": f"WITH {_CAL}, {_D}, v AS (SELECT value, CAST(row_number() OVER (ORDER BY count(*) DESC, value) AS INT) AS rank FROM d GROUP BY value) SELECT age, l, r, rank, value FROM cal, v WHERE l >= (SELECT t0 FROM s) AND length = {DAY // SECOND} AND rank <= 15 AND rank % 2 = 1",
         "windows_exponential": f"WITH {_E}, {_win(EXP)} {_WSEL}",
         "windows_power": f"WITH {_E}, {_win(POWER)} {_WSEL}",
         "windows_power_wide": f"WITH {_E}, {_win('rationalPower1,1,2,1')} {_WSEL}",
