@@ -42,3 +42,22 @@ def test_few_and_none(spark):
     assert run(spark, []) == {}
     assert run(spark, [(0, [1.0])]) == {}
     assert run(spark, [(0, [1.0]), (7, [2.0]), (7, [2.0])]) == {0: [7]}
+
+
+def test_recall_among_outlier_norms():
+    """A few long vectors, or norms of every size, do not spoil the search of the others."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 1, (40, 32))
+    base = centres[rng.integers(0, 40, 4000)] + rng.normal(0, 0.4, (4000, 32))
+    base /= np.sqrt((base * base).sum(1))[:, None]
+    ids = np.arange(len(base))
+    spread = 10.0 ** rng.uniform(-4, 4, len(base))
+    for scale in (np.where(ids == 7, 30.0, 1.0), np.where(ids % 1000 == 7, 1000.0, 1.0), np.where(ids % 40 == 0, 300.0, 1.0), spread):
+        vectors = base * scale[:, None]
+        asked = ids[ids % 20 == 0]
+        for factor, least in ((vptree.FACTOR, 0.95), (1.0, 1.0)):
+            q, v, _ = vptree.search_shard(ids, vectors, asked, vectors[asked], 20, factor)
+            got = set(zip(q.tolist(), v.tolist()))
+            near = np.where(asked[:, None] == ids, -np.inf, vectors[asked] @ vectors.T).argsort(1)[:, -20:]
+            true = {(int(a), int(b)) for a, row in zip(asked, near) for b in row}
+            assert len(true & got) >= least * len(true), (factor, len(true & got) / len(true))

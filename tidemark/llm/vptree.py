@@ -1,13 +1,15 @@
 """Operator 6: nearest neighbours by vantage-point trees, one for each shard of the rows.
 
-The measure is the inner product.  With every vector x extended by
-sqrt(M^2 - |x|^2), M the greatest norm of all, and a query q by 0, the distance
-of the two is |q|^2 + M^2 - 2 q.x, so the nearest vectors are those with the
-largest product, and the triangle inequality holds.  A node splits its vectors at
-the median distance to a vantage point; a child is skipped when the least
-distance that the inequality allows, times ``factor``, is beyond the current
-k-th nearest.  factor 1 is exact; larger ones skip more.  Equal vectors of a
-shard are one point of its tree with its smallest ids.
+The measure is the inner product.  A shard has a tree for each band of norms, a
+power of two wide.  With every vector x of a band divided by M, the band's greatest
+norm, and extended by sqrt(1 - |x / M|^2), and a query q divided by its norm and
+extended by 0, the squared distance of the two is 2 - 2 q.x / (|q| M), so the nearest
+vectors are those with the largest product, and the triangle inequality holds.  A
+node splits its vectors at the median distance to a vantage point; a child is skipped
+when the least distance that the inequality allows, times ``factor``, is beyond the
+current k-th best product of all bands.  factor 1 is exact; larger ones skip more, by
+the same measure in every band and for every query, whatever the norms of the rest.
+Equal vectors of a shard are one point of its tree with its smallest ids.
 
 A shard meets a block of queries in one task; both are of bounded size, and each
 sends its k best on.
@@ -29,11 +31,18 @@ K, EVERY, FACTOR = 20, 20, 1.1
 SHARD_ROWS, QUERY_ROWS, LEAF, FEW_LENGTHS = 8192, 8192, 96, 10_000
 
 
+def lengths(vectors: np.ndarray) -> np.ndarray:
+    most = np.abs(vectors).max(1)
+    return most * np.sqrt(((vectors / most[:, None]) ** 2).sum(1))
+
+
 class VPTree:
-    def __init__(self, points: np.ndarray, top: float, seed: int = 5):
-        """points: distinct vectors; top: M."""
-        self.points, self.top = points, top
-        self.rest = np.sqrt(np.maximum(top * top - (points * points).sum(1), 0))
+    def __init__(self, points: np.ndarray, ids: np.ndarray, seed: int = 5):
+        """points: distinct vectors of one band, not zero; ids: their rows."""
+        self.points, self.ids = points, ids
+        self.top = lengths(points).max() * (1 + 1e-12)
+        self.unit = points / self.top
+        self.rest = np.sqrt(np.maximum(1 - (self.unit * self.unit).sum(1), 0))
         self.rng = np.random.default_rng(seed)
         self.nodes: list[tuple] = []
         self.root = self._build(np.arange(len(points)))
@@ -43,9 +52,9 @@ class VPTree:
         self.nodes.append(())
         if len(rows) > LEAF:
             trial = rows[self.rng.integers(0, len(rows), 5)]
-            far = np.sqrt(np.maximum(((self.points[trial, None] - self.points[None, rows[:: max(1, len(rows) // 100)]]) ** 2).sum(2), 0))
+            far = np.sqrt(np.maximum(((self.unit[trial, None] - self.unit[None, rows[:: max(1, len(rows) // 100)]]) ** 2).sum(2), 0))
             vantage = trial[int(far.std(1).argmax())]
-            d = np.sqrt(((self.points[rows] - self.points[vantage]) ** 2).sum(1) + (self.rest[rows] - self.rest[vantage]) ** 2)
+            d = np.sqrt(((self.unit[rows] - self.unit[vantage]) ** 2).sum(1) + (self.rest[rows] - self.rest[vantage]) ** 2)
             order = np.argsort(d, kind="stable")
             half = len(rows) // 2
             inner, outer = order[:half], order[half:]
@@ -55,23 +64,27 @@ class VPTree:
             self.nodes[me] = (rows,)
         return me
 
-    def search(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the k points with the largest products found (-1: none), and the products."""
-        m, self.looked = len(queries), 0
-        best, rows = np.full((m, k), -np.inf), np.full((m, k), -1)
-        norms = (queries * queries).sum(1) + self.top**2
+    def search(self, queries: np.ndarray, best: np.ndarray, rows: np.ndarray, factor: float) -> None:
+        """Puts what this tree has into the largest products found so far and the rows of their points (-1: none)."""
+        k, self.looked = best.shape[1], 0
+        norms = lengths(queries)
+        units = queries / norms[:, None]
+
+        def room(who: np.ndarray) -> np.ndarray:
+            """Square of the distance of the k-th best; infinite until k are known, below 0 if no point of the band can reach it."""
+            return 2 - 2 * (best[who].min(1) / norms[who] / self.top)
 
         def leaf(node: int, who: np.ndarray) -> None:
             mine = self.nodes[node][0]
             self.looked += len(who) * len(mine)
             found = np.concatenate([best[who], queries[who] @ self.points[mine].T], 1)
-            ids = np.concatenate([rows[who], np.broadcast_to(mine, (len(who), len(mine)))], 1)
+            ids = np.concatenate([rows[who], np.broadcast_to(self.ids[mine], (len(who), len(mine)))], 1)
             keep = np.argpartition(-found, k - 1, axis=1)[:, :k]
             best[who], rows[who] = np.take_along_axis(found, keep, 1), np.take_along_axis(ids, keep, 1)
 
         def distance(node: int, who: np.ndarray) -> np.ndarray:
             v = self.nodes[node][0]
-            return np.sqrt(np.maximum(((queries[who] - self.points[v]) ** 2).sum(1) + self.rest[v] ** 2, 0))
+            return np.sqrt(np.maximum(((units[who] - self.unit[v]) ** 2).sum(1) + self.rest[v] ** 2, 0))
 
         seen: dict[int, np.ndarray] = {}
 
@@ -100,13 +113,22 @@ class VPTree:
             d = distance(node, who)
             for child, lo, hi in ((inner, a, b), (outer, c, e)):
                 least = np.maximum(np.maximum(lo - d, d - hi), 0)
-                reach = np.sqrt(np.maximum(norms[who] - 2 * best[who].min(1), 0))  # infinite until k are known
+                reach = np.sqrt(np.maximum(room(who), 0))
                 visit(child, who[~(least * factor > reach * (1 + 1e-9))])
 
-        everyone = np.arange(m)
-        descend(self.root, everyone)
-        visit(self.root, everyone)
-        return rows, best
+        some = np.flatnonzero(room(np.arange(len(queries))) >= -1e-9)
+        descend(self.root, some)
+        visit(self.root, some)
+
+
+def search_bands(points: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the k points with the largest products found (-1: none), and the products; the longest vectors first."""
+    best, rows = np.full((len(queries), k), -np.inf), np.full((len(queries), k), -1)
+    band = np.frexp(lengths(points))[1]
+    for b in np.unique(band)[::-1]:
+        mine = np.flatnonzero(band == b)
+        VPTree(points[mine], mine).search(queries, best, rows, factor)
+    return rows, best
 
 
 def products(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -114,7 +136,7 @@ def products(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", queries, points)
 
 
-def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, top: float, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query_id, vec_id, score) of the k best of one shard for each query, its own row left out."""
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], vectors[order]
@@ -122,8 +144,7 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     which = which.ravel()
     members = np.argsort(which, kind="stable")  # ids of a point in ascending order
     first = np.searchsorted(which[members], np.arange(len(points) + 1))
-    tree = VPTree(points, top)
-    rows, _ = tree.search(queries, min(k + 1, len(points)), factor)
+    rows, _ = search_bands(points, queries, min(k + 1, len(points)), factor)
     at, slot = np.nonzero(rows >= 0)
     point = rows[at, slot]
     score = products(queries[at], points[point])
@@ -156,15 +177,14 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, factor: float =
     if base.groupBy("vec_id").count().filter("count > 1").limit(1).count():
         base = base.groupBy("vec_id").agg(F.min("v").alias("v"))
     base = base.withColumn("dim", F.size("v"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
     query = F.pmod("vec_id", F.lit(every)) == 0
-    facts = base.groupBy("dim").agg(F.max(norm).alias("top"), F.count("*").alias("n"), F.count(F.when(query, 1)).alias("q"))
+    facts = base.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(query, 1)).alias("q"))
     shards = F.ceil(F.col("n") / shard_rows).cast("int")
     blocks = F.greatest(F.ceil(F.col("q") / QUERY_ROWS).cast("int"), F.lit(1))
     few = facts.count() <= FEW_LENGTHS  # a row of 32 bytes for each length of vectors
     told = base.join(F.broadcast(facts) if few else facts, "dim").withColumn("shards", shards).withColumn("blocks", blocks)
     own = F.xxhash64("vec_id")
-    left = told.select("dim", "top", F.pmod(own, F.col("shards")).alias("shard"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "v")
+    left = told.select("dim", F.pmod(own, F.col("shards")).alias("shard"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "v")
     left = left.withColumn("block", F.col("block").cast("long"))
     right = told.filter(query).select(F.col("dim").alias("q_dim"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("q_shard"), F.pmod(own, F.col("blocks")).alias("q_block"), F.col("vec_id").alias("query_id"), v.alias("q"))
     right = right.withColumn("q_shard", F.col("q_shard").cast("long"))
@@ -173,7 +193,7 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, factor: float =
         names, kinds = ["query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.float64()]
         if len(mine) == 0 or len(asked) == 0:
             return pa.table([pa.array([], t) for t in kinds], names=names)
-        found = search_shard(mine["vec_id"].to_numpy(), _matrix(mine["v"]), asked["query_id"].to_numpy(), _matrix(asked["q"]), mine["top"][0].as_py() * (1 + 1e-12), k, factor)
+        found = search_shard(mine["vec_id"].to_numpy(), _matrix(mine["v"]), asked["query_id"].to_numpy(), _matrix(asked["q"]), k, factor)
         return pa.table([pa.array(x, t) for x, t in zip(found, kinds)], names=names)
 
     best = left.groupBy("dim", "shard", "block").cogroup(right.groupBy("q_dim", "q_shard", "q_block")).applyInArrow(run, "query_id long, vec_id long, score double")
