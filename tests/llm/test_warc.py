@@ -56,3 +56,16 @@ def test_records_link_and_carry_digests(spark, tmp_path):
     text = "".join(gzip.open(p, "rt", newline="").read() for p in Path(path).glob("*.gz"))
     assert len(re.findall(r"^WARC/1\.1\r$", text, re.M)) == 8
     assert warc.derivatives(pages.limit(0)).collect() == []
+
+
+def test_unclosed_head_ends_where_the_body_begins():
+    body = "<p>Whole article text</p><script>var x = '</head>';</script><a href='/q'>l</a>"
+    for start in ("<!DOCTYPE html><html><head><title>t</title>", "<html><HEAD ><meta charset=utf-8>\n<!-- <body> --><title>t</title><style>p > a {}</style>", "<head><script>'<body><p>'</script><title>t</title><link rel=x>", "<head><title>t</title><noscript><p>n</p></noscript>"):
+        for middle in ("<body>", "<body class=a>", "", "</head><body>", "</head>", "</html>"):
+            made = warc.derive(1, "u", start + middle + body)
+            assert (made["text"], made["title"], made["n_links"]) == ("Whole article text\nl", "t", 1), start + middle
+    assert warc.plain_text("<head><title>t</title>bare text") == "bare text"
+    assert warc.plain_text("<head><title>t <p> </title><meta name=a></head>x") == "x"
+    assert warc.plain_text("<head>odd <b>text</b><title>t</title></head>x") == "x"
+    assert warc.plain_text("<header>x</header>") == "x" and warc.plain_text("<head><title>t") == ""
+    assert warc.plain_text("<head>x<title>" * 50_000).split() == ["x"] * 50_000

@@ -12,7 +12,9 @@ references are resolved; runs of white space are one space, and empty lines go.
 
 Edge cases: a null url or html is empty; every input row gives one row of
 derivatives, null ids included; repeated rows give equal records; unclosed comments
-and scripts reach to the end, as in browsers; an empty table gives no records.
+and scripts reach to the end, as in browsers; an unclosed head ends where the body
+begins, at the first text or element that no head holds; an empty table gives no
+records.
 """
 
 from __future__ import annotations
@@ -31,7 +33,21 @@ from pyspark.sql import functions as F
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122's name space of URLs
 DATE = "1970-01-01T00:00:00Z"
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_COMMENT = r"!--.*?(?:-->|\Z)"  # this and the next ones behind a <
+
+
+def _whole(*kinds: str) -> str:
+    """Elements with their contents; without groups, which loops that never go back cannot hold."""
+    return "|".join(rf"{k}\b[^>]*>.*?(?:</{k}\s*>|\Z)" for k in kinds)
+
+
+_UNSEEN = _whole("script", "style", "template", "noscript")
+#: What a head holds, piece by piece; anything else is the start of the body.
+_IN_HEAD = rf"(?:\s++|<(?:{_COMMENT}|{_UNSEEN}|{_whole('title', 'noframes')}|/?(?:meta|link|base|basefont|bgsound)\b[^>]*>|head\b[^>]*>))*+"
+#: Up to </head>, over odd text and tags, but no further than the first element that only a body has.
+_BODY = r"/?(?:body|html|p|div|article|section|header|footer|nav|main|aside|ul|ol|li|table|tr|h[1-6]|blockquote|pre|form|dl|dt|dd|head)\b"
+_ODD_HEAD = rf"(?:[^<]++|<(?:{_COMMENT}|{_UNSEEN}|(?!{_BODY}|!--|(?:script|style|template|noscript)\b)))*+"
+_HIDDEN = re.compile(rf"<(?:{_COMMENT}|(?P<head>head\b[^>]*>(?:{_IN_HEAD}</head\s*>|{_ODD_HEAD}</head\s*>|{_IN_HEAD}))|{_UNSEEN})", re.S | re.I)
 _BREAK = re.compile(r"<(?:/?(?:p|div|article|section|header|footer|nav|main|aside|ul|ol|li|table|tr|h[1-6]|blockquote|pre|form|dl|dt|dd|title|body|html)\b[^>]*|[bh]r\b[^>]*)>", re.I)
 _TAG = re.compile(r"<[!/?a-zA-Z][^>]*>")
 _BLANKS = re.compile(r"[ \t\r\f\v ]+")
@@ -70,7 +86,7 @@ def derive(page_id: int | None, url: str | None, page: str | None, date: str = D
     payload = page.encode()
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     response, source = record_id("response", url, page_id), digest(payload)
-    shown = _HIDDEN.sub(lambda m: m[0] if m[1] and m[1].lower() == "head" else " ", page)
+    shown = _HIDDEN.sub(lambda m: m[0] if m["head"] else " ", page)
     links = [html.unescape(next(x for x in m if x)) for m in _HREF.findall(shown) if any(m)]
     title = _TITLE.search(shown)
     fields = [("title", _one_line(html.unescape(title[1])) if title else ""), ("language", (_LANG.search(page) or ("", ""))[1]), ("charset", (_CHARSET.search(page) or ("", ""))[1])]
