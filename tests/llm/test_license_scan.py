@@ -50,3 +50,41 @@ def test_rules_are_many_and_sound():
     for r in license_rules.RULES:
         re.compile(r.pattern)
         assert r.pattern.count("|") >= 1 and r.key
+
+
+def samples(pattern):
+    """Matches of a pattern: the shortest, the longest, and those of every branch of a choice."""
+
+    def made(parsed, most, branch):
+        out = ""
+        for op, arg in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "NOT_LITERAL":
+                out += "x"
+            elif name == "IN":
+                kind, value = arg[0]
+                out += chr(value if str(kind) == "LITERAL" else value[0])
+            elif name == "MAX_REPEAT":
+                out += made(arg[2], most, branch) * (max(arg[0], min(arg[1], 3)) if most else arg[0])
+            elif name == "SUBPATTERN":
+                out += made(arg[3], most, branch)
+            else:
+                assert name == "BRANCH", name
+                out += made(arg[1][branch % len(arg[1])], most, branch)
+        return out
+
+    return {made(re._parser.parse(pattern), most, branch) for most in (False, True) for branch in range(12)}
+
+
+def test_keys_are_words_of_every_match():
+    for r in license_rules.RULES:
+        assert re.fullmatch("[0-9a-z]+", r.key), r
+        for s in samples(r.pattern):
+            assert re.fullmatch(r.pattern, s) and r.key in s, (r, s)
+
+
+def test_rules_with_an_optional_space(spark):
+    texts = ["released under the OpenRAIL-M license", "the CreativeML Open RAIL-M License", "open rail licence", "beerware license", "under the Beer-Ware License"]
+    assert [r.labels for _, r in sorted(scanned(spark, texts).items())] == ["openrail"] * 3 + ["beerware"] * 2

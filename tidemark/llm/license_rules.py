@@ -136,7 +136,7 @@ def _rule(label: str, name: str, priority: int, weight: float, base: bool = Fals
     before, _, after = name.partition("^")
     form = next((f for f in FORMS if after.startswith(f)), None)
     word = form or after.split(" ")[0].split("(")[0]
-    plain = re.split(r"\(\?:[^()]*(?:\([^()]*\)[^()]*)*\)\??|[a-z0-9]\?|\[[^]]*\]\S*", f"{before.removeprefix(NOTICE)}|{after if form is None else ''}")
+    plain = re.split(r"\(\?:[^()]*(?:\([^()]*\)[^()]*)*\)\??|[ a-z0-9]\?|\[[^]]*\]\S*", f"{before.removeprefix(NOTICE)}|{after if form is None else ''}")
     key = max((w for part in plain for w in part.replace("|", " ").split()), key=len, default="")
     return Rule(label, FORMS.get(form, (word,)), f" {before}\\|{after} ", priority, weight, key, base)
 
