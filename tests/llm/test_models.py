@@ -32,6 +32,19 @@ def test_quality_does_not_see_labels_or_ids(spark):
     assert kept.columns == docs.columns and {r.doc_id % 2 for r in kept.collect()} == {1}
 
 
+def test_quality_cuts_by_all_labelled_rows(spark):
+    rng = np.random.default_rng(5)
+    clean = rng.uniform(0, 1, 1500)
+    rows = [(i, " ".join("good" if u < c else "BUY!!" for u in rng.uniform(0, 1, 60))) for i, c in enumerate(clean)]
+    marks = [(i, int(c + rng.normal(0, 0.3) > 0.5)) for i, c in enumerate(clean)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    ranker = quality.train(docs, labels, per_label=40)
+    got = {r.doc_id: r.score for r in quality.score_documents(docs, ranker).collect()}
+    seen = sorted((got[i], y) for i, y in marks if zlib.crc32(str(i).encode()) % 5)
+    wrong = lambda cut: sum((s >= cut) != y for s, y in seen)
+    assert wrong(quality.CUT) <= min(wrong(s) for s, _ in seen) + 1
+
+
 def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id: r for r in langid.identify(docs, langid.train(docs)).collect()}

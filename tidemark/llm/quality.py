@@ -4,9 +4,10 @@ A preference pair is a document labelled 1 and one labelled 0; the probability
 that the first is preferred is the logistic function of the difference of two
 linear scores, so its loss depends on the difference of two feature vectors.
 The features are shares of kinds of bytes and of words in the whole text.  The
-cut is a quantile of the scores of the labelled rows: the one, among all, with
-the fewest errors at the labels' own proportions.  Scores are shifted so that
-the cut lies at CUT = 0.3.
+cut is a quantile of the scores of all labelled rows that are not held out: the one
+with the fewest errors at the labels' own proportions, between two of the BINS of a
+histogram of what the scores can be.  Scores are shifted so that the cut lies at
+CUT = 0.3.
 
 The model is fitted on at most ``per_label`` rows of each label, the ones with the
 smallest hash of their id; everything else covers all rows.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .textbuf import RollingHash, column_bytes, slices, words
 
-PER_LABEL, PAIRS, CUT = 2000, 40_000, 0.3
+PER_LABEL, PAIRS, CUT, BINS = 2000, 40_000, 0.3, 1 << 17
 
 #: Kinds of bytes: 1 upper, 2 lower, 3 digit, 4 white space, 5 ! and ?, 6 | and / and \, 7 other symbols, 8 stops and commas, 9 quotes and brackets, 10 beyond ASCII, 0 control.
 KIND = np.zeros(256, np.uint8)
@@ -85,8 +86,8 @@ class Ranker:
         return 1 / (1 + np.exp(-z))
 
 
-def fit(x: np.ndarray, y: np.ndarray, share_of_0: float, pairs: int = PAIRS, steps: int = 400, seed: int = 7) -> Ranker:
-    """Gradient descent on the logistic loss of feature differences, and the quantile that cuts best."""
+def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, steps: int = 400, seed: int = 7) -> Ranker:
+    """Gradient descent on the logistic loss of feature differences; the cut is left at 0."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if len(good) == 0 or len(bad) == 0:
         return Ranker()
@@ -101,21 +102,26 @@ def fit(x: np.ndarray, y: np.ndarray, share_of_0: float, pairs: int = PAIRS, ste
         g = -(d / (1 + np.exp(np.clip(d @ weight, -50, 50)))[:, None]).mean(0) + 1e-3 * weight
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         weight -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    ranker = Ranker(mean, scale, weight)
-    raw = ranker.raw(x)
-    order = np.argsort(raw, kind="stable")
-    gain = np.where(y[order] == 1, (1 - share_of_0) / len(good), -share_of_0 / len(bad))
+    return Ranker(mean, scale, weight)
+
+
+def best_cut(low: np.ndarray, high: np.ndarray, bad: np.ndarray, good: np.ndarray, share_of_0: float) -> float:
+    """The cut between two bins, in ascending order, with the fewest errors; bins have a least and a greatest score and rows of each label."""
+    gain = (1 - share_of_0) * good / good.sum() - share_of_0 * bad / bad.sum()
     error = np.concatenate([[0], np.cumsum(gain)])  # of rejecting so many of the lowest, less that of rejecting none
     best = np.flatnonzero(error <= error.min() + 1e-12)
     at = int(best[len(best) // 2])
-    padded = np.concatenate([[raw.min() - 1], raw[order], [raw.max() + 1]])
-    ranker.cut = float((padded[at] + padded[at + 1]) / 2)
-    return ranker
+    below, above = np.concatenate([[low[0] - 1], high]), np.concatenate([low, [high[-1] + 1]])
+    return float((below[at] + above[at]) / 2)
+
+
+def _learnable(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1) and pmod(crc32(cast(doc_id as string)), 5) != 0")
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Features and labels of the rows to learn from, and the share of label 0 among all such labels."""
-    mine = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1) and pmod(crc32(cast(doc_id as string)), 5) != 0")
+    mine = _learnable(labels)
     counts = {r.quality: r["count"] for r in mine.groupBy("quality").count().collect()}
     if set(counts) != {0, 1}:
         return np.zeros((0, 0)), np.zeros(0), 0.5
@@ -136,8 +142,31 @@ def _labelled(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple[np.nd
     return np.stack([np.frombuffer(r.x) for r in found]), np.array([r.quality for r in found]), counts[0] / (counts[0] + counts[1])
 
 
+def _histogram(docs: DataFrame, labels: DataFrame, ranker: Ranker) -> tuple[np.ndarray, ...]:
+    """low, high, bad, good of each bin of raw scores that all rows to learn from fill: at most BINS rows, whatever the tables' size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = column_bytes(batch.column(1))
+            for i, j in slices(offsets):
+                raw = ranker.raw(features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(raw)], names=["doc_id", "raw"])
+
+    most = 8 * float(np.abs(ranker.weight).sum()) + 1e-9  # features are clipped at 8
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and pmod(crc32(cast(doc_id as string)), 5) != 0")
+    told = texts.mapInArrow(run, "doc_id long, raw double").join(_learnable(labels).groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id")
+    place = F.floor((F.col("raw") + most) * (BINS / (2 * most)))
+    bins = told.groupBy(place.alias("bin")).agg(F.min("raw").alias("low"), F.max("raw").alias("high"), F.sum(1 - F.col("quality")).alias("bad"), F.sum("quality").alias("good"))
+    found = bins.toArrow().sort_by("bin")
+    return tuple(found[c].to_numpy() for c in ("low", "high", "bad", "good"))
+
+
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Ranker:
-    return fit(*_labelled(docs, labels, per_label))
+    x, y, share_of_0 = _labelled(docs, labels, per_label)
+    ranker = fit(x, y)
+    if ranker.weight is not None:
+        ranker.cut = best_cut(*_histogram(docs, labels, ranker), share_of_0)
+    return ranker
 
 
 def score_documents(docs: DataFrame, ranker: Ranker) -> DataFrame:
