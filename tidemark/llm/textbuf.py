@@ -7,13 +7,16 @@ worker stay small whatever the size of the Arrow batch.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text handled at once.  One longer text is handled alone, whole.
+#: Bytes of text handled at once.  One longer text is handled alone, in pieces where the operator can.
 SLICE_BYTES = 2 << 20
+#: Words beyond so many bytes are hashed one by one.
+LONG_WORD = 256
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 BYTE_KEYS = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -74,8 +77,38 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def word_prints(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit fingerprints of words: eight bytes at a time through a chain that is not linear in them, long ones by BLAKE2.
+
+    Not for equality by itself: what acts on equal words compares the words.
+    """
+    size = end - start
+    out = mix(size.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+    if len(size) == 0:
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (len(data) + 1, 8), (1, 1))
+    long_ = np.flatnonzero(size > LONG_WORD)
+    for k in long_.tolist():
+        out[k] = np.frombuffer(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8).digest(), np.uint64)[0]
+    todo = np.flatnonzero(size <= LONG_WORD) if len(long_) else np.arange(len(size))
+    at, left = start[todo], size[todo]
+    while len(todo):
+        value = np.ascontiguousarray(eight[at]).view("<u8")[:, 0]
+        short = left < 8
+        value[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+        out[todo] = mix((out[todo] ^ value) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+        more = left > 8
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    return out
+
+
 class RollingHash:
-    """64-bit fingerprints of any substring of a buffer in constant time."""
+    """64-bit fingerprints of any substring of a buffer in constant time.
+
+    A polynomial modulo 2^64: long texts of a regular build can share one, so it
+    only finds places to look at and never decides that two texts are equal.
+    """
 
     def __init__(self, data: np.ndarray):
         n = len(data)
@@ -94,6 +127,28 @@ class RollingHash:
         return mix((self.sums[k:] - self.sums[:-k]) * _power(BASE_INV, len(self.sums))[:n])
 
 
+def space_pieces(data: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Stretches of one text that end where a run of white space does, of about ``limit`` bytes; a longer word is not cut."""
+    lo, n = 0, len(data)
+    while lo < n:
+        hi = min(n, lo + limit)
+        if hi < n:
+            gap = SPACE[data[lo:hi]]
+            ends = np.flatnonzero(gap[:-1] & ~gap[1:])
+            if len(ends):
+                hi = lo + int(ends[-1]) + 1
+            else:
+                while hi < n and not (SPACE[data[hi - 1]] and not SPACE[data[hi]]):
+                    step = data[hi - 1 : hi + limit]
+                    gap = SPACE[step]
+                    ends = np.flatnonzero(gap[:-1] & ~gap[1:])
+                    hi = hi + int(ends[0]) if len(ends) else min(n, hi + limit)
+                    if len(ends):
+                        break
+        yield lo, hi
+        lo = hi
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and row numbers of the words between ASCII white space; none crosses rows."""
     n = len(data)
