@@ -44,7 +44,7 @@ def unescape(text: str) -> str:
 
 
 def format_turns(turns: DataFrame, vocabulary: str) -> DataFrame:
-    """conv_id, turn, ids, loss (the mask of ids), n_chars (of the formatted turn): one row for each row, no shuffle."""
+    """conv_id, turn, ids, loss (the mask of ids): one row for each row, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.load(vocabulary)
@@ -55,7 +55,7 @@ def format_turns(turns: DataFrame, vocabulary: str) -> DataFrame:
                 roles = [escape(x) for x in batch.column(2).to_pylist()]
                 texts = [escape(x) for x in batch.column(3).to_pylist()]
                 mine = [unescape(r) == LOSS_ROLE for r in roles]
-                (rid, rat), (tid, tat) = (codec.encode(*column_bytes(pa.array(x, pa.string()))) for x in (roles, texts))
+                (rid, rat), (tid, tat) = (codec.encode_all(*column_bytes(pa.array(x, pa.large_string()))) for x in (roles, texts))
                 parts, steps, ends = [], [], []
                 for k in range(len(batch)):
                     r, t = rid[rat[k] : rat[k + 1]], tid[tat[k] : tat[k + 1]]
@@ -68,11 +68,11 @@ def format_turns(turns: DataFrame, vocabulary: str) -> DataFrame:
                 at = pa.array(np.concatenate([[0], np.cumsum(ends)]).astype(np.int32))
                 ids = pa.ListArray.from_arrays(at, pa.array(np.concatenate(parts).astype(np.int32)))
                 loss = pa.ListArray.from_arrays(at, pa.array(np.cumsum(np.concatenate(steps)) > 0))
-                chars = sum(map(len, MARKS))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids, loss, pa.array([chars + len(r) + len(t) for r, t in zip(roles, texts)], pa.int64())], names=["conv_id", "turn", "ids", "loss", "n_chars"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids, loss], names=["conv_id", "turn", "ids", "loss"])
+        codec.close()
 
     base = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return base.mapInArrow(run, "conv_id long, turn long, ids array<int>, loss array<boolean>, n_chars long")
+    return base.mapInArrow(run, "conv_id long, turn long, ids array<int>, loss array<boolean>")
 
 
 class _Conversation:
@@ -90,10 +90,11 @@ def _digests(vocabulary: str):
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         emit = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
-        text = lambda ids: unescape(codec.decode(ids).tobytes().decode())
+        text = lambda ids: codec.decode(ids).tobytes().decode()
+        marks = {top + k: m for k, m in enumerate(MARKS)}
         for batch in batches:
             done = []
-            convs, chars = batch.column(0).to_pylist(), batch.column(4).to_pylist()
+            convs = batch.column(0).to_pylist()
             at = batch.column(2).offsets.to_numpy()
             ids = batch.column(2).flatten().to_numpy()
             loss = batch.column(3).flatten().to_numpy(zero_copy_only=False)
@@ -105,16 +106,17 @@ def _digests(vocabulary: str):
                     now = _Conversation(conv)
                 turn, mask = ids[at[k] : at[k + 1]], loss[at[k] : at[k + 1]]
                 middle = int(np.flatnonzero(turn == top + TEXT)[0])
-                said, trained = text(turn[middle + 1 : -1]), text(turn[mask])
+                role, said, trained = text(turn[2:middle]), text(turn[middle + 1 : -1]), unescape(text(turn[mask]))
                 now.turns += 1
-                now.all.update(f"{text(turn[2:middle])}\n{said}\n".encode())
+                now.all.update(f"{unescape(role)}\n{unescape(said)}\n".encode())
                 now.loss.update(trained.encode())
                 now.loss_chars += len(trained)
-                now.chars += chars[k]
+                now.chars += len(role) + len(said) + sum(len(marks[i]) for i in turn[turn >= top].tolist())
             if done:
                 yield emit(done)
         if now is not None:
             yield emit([now.row()])
+        codec.close()
 
     return run
 
