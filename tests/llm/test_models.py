@@ -1,4 +1,7 @@
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 
@@ -63,3 +66,53 @@ def test_language_of_odd_rows(spark):
     nothing = langid.train(docs.selectExpr("doc_id", "text", "cast(null as string) as lang"))
     assert {r.lang_pred for r in langid.identify(odd, nothing).collect()} == {"und"}
     assert langid.identify(odd.limit(0), model).collect() == []
+
+
+def test_pieces_of_long_texts_count_the_same(monkeypatch):
+    rng = np.random.default_rng(9)
+    for text in (b"One two  two\n three!! " * 40, b"x" * 3000, b" " * 700 + b"a", bytes(rng.choice(list(b"ab ,\n!Z"), 4000).astype(np.uint8))):
+        data, at = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+        whole, (total, number) = quality.features(data, at), langid.bucket_counts(data, at)
+        with monkeypatch.context() as m:
+            m.setattr(quality, "SLICE_BYTES", 100)
+            m.setattr(quality.space_pieces, "__defaults__", (64,))
+            m.setattr(langid, "PIECE_BYTES", 77)
+            assert np.allclose(whole, quality.features(data, at))
+            parts, n = langid.bucket_counts(data, at)
+            assert (parts == total).all() and (n == number).all()
+
+
+def test_logits_are_means_of_rows():
+    """Against a plain loop over n-grams."""
+    rng = np.random.default_rng(2)
+    model = langid.Model(["a", "b", "c"], rng.normal(size=(langid.BUCKETS, 3)).astype(np.float32), np.zeros(3, np.float32))
+    texts = [b"", b"x", b"hello w\xc3\xb6rld", b"ab" * 50]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    got = model.logits(data, np.cumsum([0, *map(len, texts)]))
+    for t, row in zip(texts, got):
+        buckets = [int(langid.gram_buckets(np.frombuffer(t[i : i + n], np.uint8))[n - 1][0]) for n in langid.GRAMS for i in range(len(t) - n + 1)]
+        assert np.allclose(row, model.table[buckets].mean(0) if buckets else 0, atol=1e-4)
+
+
+LONG = """
+import sys, resource
+import numpy as np
+sys.path.insert(0, sys.argv[1])
+from tidemark.llm import langid, quality
+rng = np.random.default_rng(1)
+words = np.array(["".join(rng.choice(list("abcdefgh\u00e9"), rng.integers(1, 9))) for _ in range(5000)], object)
+data = np.frombuffer(" ".join(rng.choice(words, 6_000_000)).encode()[: 32 << 20], np.uint8)
+at, before = np.array([0, len(data)]), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+languages = [str(k) for k in range(180)]
+langid.Model(languages, rng.normal(size=(langid.BUCKETS, 180)).astype(np.float32), np.zeros(180, np.float32)).predict(data, at)
+many = np.arange(0, 1 << 20, 100)
+langid.Model(languages, rng.normal(size=(langid.BUCKETS, 180)).astype(np.float32), np.zeros(180, np.float32)).predict(data[: many[-1]], many)
+assert np.isfinite(quality.features(data, at)).all()
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+
+
+def test_memory_of_a_text_of_32_mb_and_180_languages():
+    done = subprocess.run([sys.executable, "-c", LONG, str(Path(__file__).resolve().parents[2])], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert int(done.stdout.split()[-1]) < 500

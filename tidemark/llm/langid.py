@@ -12,7 +12,8 @@ rejected: at it, 95 % of the held-back pieces are right.
 Edge cases: lang_pred is ``und``, the score 0 and rejected true where the text is
 null or has no letter; every input row gives one row, repeated rows and null ids
 included; a null id is not held out and not learned from; without any
-labelled row everything is ``und``.
+labelled row everything is ``und``; long texts are counted in pieces, and memory
+does not grow with the number of languages times the bytes of a text.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .textbuf import LOWER, SPACE, column_bytes, slices
 
 BUCKETS, DIMENSIONS, ROWS, GRAMS = 4096, 16, 1500, (1, 2, 3, 4)
 UND = "und"
+#: Bytes of one text, and texts, whose n-grams are counted at once.
+PIECE_BYTES, ROWS_AT_ONCE = 1 << 18, 128
 _FOLD = LOWER.copy()
 _FOLD[SPACE] = 32
 _FOLD[48:58] = 48
@@ -50,10 +53,29 @@ def gram_buckets(data: np.ndarray) -> list[np.ndarray]:
 
 
 def counts(raw: bytes) -> np.ndarray:
-    x = np.zeros(BUCKETS, np.float32)
-    for b in gram_buckets(np.frombuffer(raw, np.uint8)):
-        x += np.bincount(b, minlength=BUCKETS)
-    return x
+    return bucket_counts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0][0]
+
+
+def bucket_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text: its n-grams in each bucket, and in all.  One long text is counted a piece at a time."""
+    rows, size = len(offsets) - 1, np.diff(offsets)
+    total, number = np.zeros((rows, BUCKETS), np.float32), np.zeros(rows)
+    if rows == 1 and len(data) > PIECE_BYTES:
+        sums, most = np.zeros(BUCKETS), max(GRAMS)
+        for lo in range(0, len(data), PIECE_BYTES):
+            piece = data[lo : lo + PIECE_BYTES + most - 1]
+            for b in gram_buckets(piece):
+                own = b[:PIECE_BYTES]
+                sums += np.bincount(own, minlength=BUCKETS)
+                number[0] += len(own)
+        return sums.astype(np.float32)[None], number
+    owner = np.repeat(np.arange(rows), size)
+    left = offsets[1:][owner] - np.arange(len(data))
+    for n, buckets in zip(GRAMS, gram_buckets(data)):
+        live = left[: len(buckets)] >= n  # n-grams that cross into the next text are left out
+        total += np.bincount(owner[: len(buckets)][live] * BUCKETS + buckets[live], minlength=rows * BUCKETS).reshape(rows, BUCKETS)
+        number += np.maximum(size - n + 1, 0)
+    return total, number
 
 
 @dataclass
@@ -65,16 +87,12 @@ class Model:
     reject: float = 0.0
 
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        total, rows = np.zeros((len(offsets) - 1, len(self.languages))), np.diff(offsets)
-        number = np.zeros(len(rows))
-        for n, buckets in zip(GRAMS, gram_buckets(data)):
-            live = np.maximum(rows - n + 1, 0)  # n-grams that cross into the next text are left out
-            sums = np.zeros((len(buckets) + 1, len(self.languages)))
-            np.cumsum(self.table[buckets], axis=0, dtype=np.float64, out=sums[1:])
-            at = np.minimum(offsets[:-1], len(buckets))
-            total += sums[np.minimum(at + live, len(buckets))] - sums[at]
-            number += live
-        return (total / np.maximum(number, 1)[:, None] + self.bias) / self.temperature
+        out = np.zeros((len(offsets) - 1, len(self.languages)))
+        for i in range(0, len(out), ROWS_AT_ONCE):
+            at = offsets[i : i + ROWS_AT_ONCE + 1]
+            total, number = bucket_counts(data[at[0] : at[-1]], at - at[0])
+            out[i : i + ROWS_AT_ONCE] = (total @ self.table) / np.maximum(number, 1)[:, None]
+        return (out + self.bias) / self.temperature
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         p = softmax(self.logits(data, offsets))
@@ -145,8 +163,8 @@ def train(docs: DataFrame, rows: int = ROWS) -> Model:
     if kinds == 0:
         return Model()
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = mine.select("doc_id", "lang").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= max(1, rows // kinds)).select("doc_id").limit(rows).distinct()
-    found = mine.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "lang", "text").mapInArrow(_pieces, "doc_id long, piece int, lang string, at binary, share binary").orderBy("doc_id", "piece", "lang", "at").limit(3 * rows).collect()
+    ids = mine.select("doc_id", "lang").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= max(1, rows // kinds)).select("doc_id").distinct()
+    found = mine.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "lang", "text").mapInArrow(_pieces, "doc_id long, piece int, lang string, at binary, share binary").orderBy("doc_id", "piece", "lang", "at").limit(3 * max(rows, kinds)).collect()
     languages = sorted({r.lang for r in found})
     if not languages:
         return Model()
@@ -165,7 +183,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             column = batch.column(1)
             lettered = batch.column(2).to_numpy(zero_copy_only=False)
             data, offsets = column_bytes(column)
-            for i, j in slices(offsets, 1 << 20):
+            for i, j in slices(offsets, PIECE_BYTES):
                 if model.languages:
                     best, score = model.predict(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                     names = np.array(model.languages, object)[best]

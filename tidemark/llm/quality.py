@@ -13,7 +13,7 @@ The model is fitted on at most ``per_label`` rows of each label, the ones with t
 smallest hash of their id; everything else covers all rows.
 
 Edge cases: a null or empty text has the features of the empty text and is
-scored; every input row gives one row, repeated rows and null ids included; a
+scored; texts beyond SLICE_BYTES are counted in pieces; every input row gives one row, repeated rows and null ids included; a
 null id is never held out and never labelled; labels other than 0 and 1 are
 ignored; without rows of both labels every score is 0.5 (kept).
 """
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbuf import RollingHash, column_bytes, slices, words
+from .textbuf import SLICE_BYTES, column_bytes, slices, space_pieces, word_prints, words
 
 PER_LABEL, PAIRS, CUT, BINS = 2000, 40_000, 0.3, 1 << 17
 
@@ -39,31 +39,53 @@ for _k, _set in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrst
 KINDS = 11
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One row of features for each text."""
+#: What tallies() counts of a text: bytes of each kind, words of eight kinds, words, their bytes, ends of lines, bytes, distinct words.
+TALLIES = KINDS + 13
+
+
+def tallies(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of each text, and the fingerprints of all words in order."""
     rows = len(offsets) - 1
     size = np.diff(offsets)
-    owner = np.repeat(np.arange(rows), size)
+    owner = np.repeat(np.arange(rows, dtype=np.int32), size)
     kinds = np.bincount(owner * KINDS + KIND[data], minlength=rows * KINDS).reshape(rows, KINDS)
     start, end, row = words(data, offsets)
-    count = np.bincount(row, minlength=rows)
     per = lambda mask: np.bincount(row[mask], minlength=rows)
-    prints = RollingHash(data).of(start, end) if len(start) else np.zeros(0, np.uint64)
-    again = np.zeros(len(start), bool)
-    if len(start):
-        again[1:] = (prints[1:] == prints[:-1]) & (row[1:] == row[:-1])
+    prints = word_prints(data, start, end)
+    again, fresh = np.zeros(len(start), bool), np.ones(len(start), bool)
     order = np.lexsort((prints, row))
-    fresh = np.ones(len(start), bool)
     if len(start):
+        again[1:] = (prints[1:] == prints[:-1]) & (row[1:] == row[:-1])
         fresh[1:] = (prints[order][1:] != prints[order][:-1]) | (row[order][1:] != row[order][:-1])
     length = end - start
     lead, tail = (KIND[data[start]], KIND[data[end - 1]]) if len(start) else (np.zeros(0, np.uint8),) * 2
-    lines = np.bincount(owner[data == 10], minlength=rows) + 1
-    n, w = np.maximum(size, 1)[:, None], np.maximum(count, 1)[:, None]
-    shares = np.concatenate([kinds / n, np.stack([per(again), per(length <= 2), per(length >= 15), per(lead == 1), per(tail == 5), per(tail == 7), per(tail == 8), per((length == 1) & (lead == 6))], 1) / w], 1)
-    distinct = np.bincount(row[order][fresh], minlength=rows) / np.maximum(count, 1)
-    mean = np.bincount(row, weights=length, minlength=rows) / np.maximum(count, 1)
-    other = np.stack([distinct, distinct * np.log1p(count), np.log1p(size), np.log1p(count), mean / 10, np.log1p(count / lines), (count == 0) * 1.0], 1)
+    kinds_of_words = [per(again), per(length <= 2), per(length >= 15), per(lead == 1), per(tail == 5), per(tail == 7), per(tail == 8), per((length == 1) & (lead == 6))]
+    rest = [np.bincount(row, minlength=rows), np.bincount(row, weights=length, minlength=rows), np.bincount(owner[data == 10], minlength=rows), size, np.bincount(row[order][fresh], minlength=rows)]
+    return np.concatenate([kinds, np.stack(kinds_of_words + rest, 1)], 1).astype(np.float64), prints
+
+
+def _long_tallies(data: np.ndarray) -> np.ndarray:
+    """tallies() of one text, a piece at a time; its distinct words and the last word are carried along."""
+    total, seen, last = np.zeros((1, TALLIES)), np.zeros(0, np.uint64), None
+    for lo, hi in space_pieces(data):
+        counts, prints = tallies(data[lo:hi], np.array([0, hi - lo]))
+        total += counts
+        if len(prints):
+            total[0, KINDS] += last is not None and prints[0] == last
+            last = prints[-1]
+            seen = np.union1d(seen, prints)
+    total[0, -1] = len(seen)
+    return total
+
+
+def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """One row of features for each text."""
+    t = _long_tallies(data) if len(offsets) == 2 and len(data) > SLICE_BYTES else tallies(data, offsets)[0]
+    kinds, of_words, (count, length, breaks, size, fresh) = t[:, :KINDS], t[:, KINDS : KINDS + 8], t[:, KINDS + 8 :].T
+    n, w = np.maximum(size, 1), np.maximum(count, 1)
+    shares = np.concatenate([kinds / n[:, None], of_words / w[:, None]], 1)
+    distinct = fresh / w
+    other = np.stack([distinct, distinct * np.log1p(count), np.log1p(size), np.log1p(count), length / w / 10, np.log1p(count / (breaks + 1)), (count == 0) * 1.0], 1)
     return np.concatenate([shares, np.log1p(200 * shares), other], 1)
 
 
