@@ -76,6 +76,64 @@ def test_tree_keeps_every_link():
     assert true <= found and len(found) < 0.1 * len(sets) ** 2
 
 
+def test_words_that_a_polynomial_confuses(spark):
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    a, b = ("".join(p[x] for x in bits) for p in ("ab", "ba"))
+    same = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, a), (2, b), (3, f"x {a} y"), (4, f"x {b} y"), (5, f"{same} {a}"), (6, f"{same} {b}"), (7, f"{a} {a} q r s t"), (8, f"{b} {b} q r s t")]
+    check(spark, rows)
+
+
+def test_links_are_of_words_and_not_of_fingerprints(monkeypatch):
+    rng = random.Random(5)
+    texts = ["", "a", "A b", "a b c d e", "A b C d e"] + [" ".join(rng.choice("abcd") for _ in range(rng.randint(3, 12))) for _ in range(120)]
+    for x in texts:
+        for y in texts:
+            p, q = shingles(x), shingles(y)
+            assert J.words_link(x, y) == bool(p and q and 100 * len(p & q) >= 75 * len(p | q))
+    monkeypatch.setattr(J, "word_prints", lambda data, start, end: np.ones(len(start), np.uint64))  # every word looks the same
+    got = list(J._link_blocks(5, 75)(iter([J.pa.RecordBatch.from_pydict({"token": [1] * 3, "block": [0] * 3, "doc_id": [1, 2, 3], "text": ["a b c d e f", "g h i j k l", "a b c d e f"]})])))
+    assert [(x["a"], x["b"]) for b in got for x in b.to_pylist()] == [(1, 3)]
+
+
+def test_long_texts_in_pieces(spark, monkeypatch):
+    rng = random.Random(6)
+    text = " ".join(rng.choice(["a", "bb", "ccc", "x" * 300]) for _ in range(2000))
+    data, at = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])
+    whole = J.shingle_sets(data, at)[0]
+    assert len(whole) == len(shingles(text))
+    with monkeypatch.context() as m:
+        m.setattr(J, "SLICE_BYTES", 100)
+        m.setattr(J, "SLICE_WORDS", 37)
+        m.setattr(J.space_pieces, "__defaults__", (64,))
+        assert (J.shingle_sets(data, at)[0] == whole).all()
+        digest = J._digest(data)
+    assert digest == J._digest(np.frombuffer(("\n" + text.replace(" ", " \t ")).upper().encode(), np.uint8))
+
+
+def test_trees_drop_most_node_pairs():
+    """Families of near copies: how many pairs of nodes are met, dropped and compared row by row."""
+    rng, sets = np.random.default_rng(7), []
+    for _ in range(100):
+        base = rng.integers(0, 2**63, rng.integers(60, 400), dtype=np.uint64)
+        for _ in range(16):
+            sets.append(np.unique(base[rng.random(len(base)) < 0.97]))
+    sizes, seen = np.array([len(s) for s in sets]), {}
+    found = {tuple(sorted(p)) for i, j in J.candidate_pairs([J.bitmap(s) for s in sets], sizes, np.arange(len(sets)), seen=seen) for p in zip(i.tolist(), j.tolist())}
+    assert {(i, j) for f in range(0, len(sets), 16) for i in range(f, f + 16) for j in range(i + 1, f + 16) if J.links(sets[i], sets[j])} <= found
+    leaves = len(sets) // J.LEAF
+    print(seen, "of", leaves * (leaves + 1) // 2, "pairs of leaves")
+    assert seen["dropped"] > seen["met"] / 5 and seen["compared"] < leaves * (leaves + 1) / 4, seen
+
+
+def test_other_columns_and_one_hot_shingle(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK_DOCS", 4)
+    rows = [(i, f"the same five words here w{i} x{i} y{i % 3}", i, "k", "c") for i in range(60)] + [(100 + i, "all of us are copies of one", 1, None, "") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long, key string, component_id string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.near_duplicate_components(df).collect()}
+    assert got == brute([(r[0], r[1]) for r in rows])
+
+
 def test_empty_and_repeated_rows(spark):
     assert J.near_duplicate_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     df = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (9, "A b c d e F")], "doc_id long, text string")

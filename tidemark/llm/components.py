@@ -2,28 +2,29 @@
 
 Each step is one shuffle of the edges and is written to the shared folder, so no
 links or components ever come together on one machine, and a lost executor costs
-at most a step.  A hub keeps its neighbours in separate rows throughout.
+at most a step.  A hub keeps its neighbours in separate rows throughout, dealt out
+over all tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import materialise
+from .frames import materialise, with_totals
 
 MAX_STEPS = 60
 
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.withColumn("m", F.least("a", F.min("b").over(Window.partitionBy("a"))))
+    least = with_totals(both, ["a"], "b", m=("b", F.min)).withColumn("m", F.least("a", "m"))
     return least.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+    least = with_totals(down, ["a"], "b", m=("b", F.min))
     return least.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
 
 

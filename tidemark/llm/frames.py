@@ -15,12 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one that the session names in spark.checkpoint.dir.  Only where
-    that is unset, as in local tests, a folder of the warehouse is taken.
+    It is the one that the session names in spark.checkpoint.dir.  Only a local
+    session, as in tests, may leave it unset; then a folder of the warehouse is taken.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
+    if not found and spark.sparkContext.master.startswith("local"):
         found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    if not found:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return found.rstrip("/")
 
 
@@ -44,5 +46,18 @@ def texts_by_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return base.filter("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text")) if odd else base
 
 
+def with_totals(frame: DataFrame, keys: list[str], spread: str, **totals: tuple) -> DataFrame:
+    """Adds totals over the rows of equal keys: name=(column, function), the function one that joins its own results, as sum, min and max.
+
+    Rows of a key are dealt out by the column ``spread`` as well, so one key with a
+    third of all rows is not one task: its parts are totalled, then the totals of
+    the parts, one row for each, and each part gets the whole total.
+    """
+    told = frame.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(shuffle_partitions(frame.sparkSession))))
+    parts = told.groupBy(*keys, "_part").agg(*(f(c).alias(name) for name, (c, f) in totals.items()))
+    whole = parts.groupBy(*keys).agg(*(f(name).alias(name) for name, (_, f) in totals.items()), F.collect_list("_part").alias("_parts"))
+    return told.join(whole.withColumn("_part", F.explode("_parts")).drop("_parts"), [*keys, "_part"]).drop("_part")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
