@@ -32,6 +32,25 @@ def test_factor_one_is_exact(spark):
     assert run(spark, rows, factor=1.0, shard_rows=400) == {q: v for q, v in brute(rows, 20, 20).items() if v}
 
 
+def test_ties_of_different_vectors(spark):
+    """400 different vectors with the same product: the smallest ids, also where others are nearer and where ids cross shards."""
+    rng = np.random.default_rng(6)
+    tied = [[1.0, *rng.integers(-9, 9, 5).astype(float).tolist()] for _ in range(400)]
+    rows = [(0, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0])] + [(int(i), v) for i, v in zip(rng.permutation(np.arange(1, 401)), tied)] + [(901 + i, [2.0 + i, 1.0, 2.0, 3.0, 4.0, 5.0]) for i in range(3)]
+    rows = [r for r in rows if r[0] % 20 or r[0] == 0]
+    assert run(spark, rows, factor=1.0, shard_rows=150) == brute(rows, 20, 20)
+    assert run(spark, rows, factor=1.0)[0] == [903, 902, 901, *range(1, 18)]
+    grid = [(i, [float(a), float(b), float(c)]) for i, (a, b, c) in enumerate(rng.integers(-3, 4, (1500, 3)).tolist())]
+    assert run(spark, grid, factor=1.0, shard_rows=300) == {q: v for q, v in brute(grid, 20, 20).items() if v}
+
+
+def test_other_columns(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0], i, "s", 0.5) for i in range(1, 41)], "vec_id long, embedding array<float>, rank int, shard string, score double")
+    got = vptree.nearest(df, k=2)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"]
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got.collect()) == [(20, 1, 40), (20, 2, 39), (40, 1, 39), (40, 2, 38)]
+
+
 def test_recall_of_the_default_factor(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
     got, true = run(spark, rows), brute(rows, 20, 20)

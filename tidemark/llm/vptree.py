@@ -9,10 +9,15 @@ node splits its vectors at the median distance to a vantage point; a child is sk
 when the least distance that the inequality allows, times ``factor``, is beyond the
 current k-th best product of all bands.  factor 1 is exact; larger ones skip more, by
 the same measure in every band and for every query, whatever the norms of the rest.
-Equal vectors of a shard are one point of its tree with its smallest ids.
+Equal vectors of a shard are one point of its tree with its smallest ids.  Products
+of a leaf are found at once and those within rounding of the k-th best are found
+again, each by itself and always in the same order of summation, so that ties are
+seen as ties; points are numbered by their smallest ids, to which ties go.
 
-A shard meets a block of queries in one task; both are of bounded size, and each
-sends its k best on.
+A shard's rows come to one task, which builds its trees once; the queries then
+stream past, a batch at a time, and each sends its k best on.  Every query meets
+every shard: the copies of queries grow with queries times shards, which is why a
+shard has as many rows as a task can hold; rows are never copied.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components
 take no part; vectors of different lengths never meet; rows with a null vec_id are
@@ -22,13 +27,20 @@ with no candidate has no row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .frames import shuffle_partitions
+
 K, EVERY, FACTOR = 20, 20, 1.1
-SHARD_ROWS, QUERY_ROWS, LEAF, FEW_LENGTHS = 8192, 8192, 96, 10_000
+#: Rows of a shard; smaller tables have more shards, of LEAST_ROWS, to have work for all tasks.
+SHARD_ROWS, LEAST_ROWS, LEAF, FEW_LENGTHS = 32_768, 2048, 96, 10_000
+#: Queries searched at once.
+QUERY_ROWS = 2048
 
 
 def lengths(vectors: np.ndarray) -> np.ndarray:
@@ -77,9 +89,16 @@ class VPTree:
         def leaf(node: int, who: np.ndarray) -> None:
             mine = self.nodes[node][0]
             self.looked += len(who) * len(mine)
-            found = np.concatenate([best[who], queries[who] @ self.points[mine].T], 1)
-            ids = np.concatenate([rows[who], np.broadcast_to(self.ids[mine], (len(who), len(mine)))], 1)
-            keep = np.argpartition(-found, k - 1, axis=1)[:, :k]
+            near = queries[who] @ self.points[mine].T >= (best[who].min(1) - 1e-11 * norms[who] * self.top)[:, None]
+            some = near.any(1)
+            who, near = who[some], near[some]
+            if len(who) == 0:
+                return
+            i, j = np.nonzero(near)
+            found, ids = np.full(near.shape, -np.inf), np.where(near, self.ids[mine][None, :], np.iinfo(np.int64).max)
+            found[i, j] = products(queries[who[i]], self.points[mine[j]])
+            found, ids = np.concatenate([best[who], found], 1), np.concatenate([rows[who], ids], 1)
+            keep = np.lexsort((ids, -found), axis=1)[:, :k]
             best[who], rows[who] = np.take_along_axis(found, keep, 1), np.take_along_axis(ids, keep, 1)
 
         def distance(node: int, who: np.ndarray) -> np.ndarray:
@@ -113,7 +132,7 @@ class VPTree:
             d = distance(node, who)
             for child, lo, hi in ((inner, a, b), (outer, c, e)):
                 least = np.maximum(np.maximum(lo - d, d - hi), 0)
-                reach = np.sqrt(np.maximum(room(who), 0))
+                reach = np.sqrt(np.maximum(room(who), 0) + 1e-13)
                 visit(child, who[~(least * factor > reach * (1 + 1e-9))])
 
         some = np.flatnonzero(room(np.arange(len(queries))) >= -1e-9)
@@ -121,51 +140,76 @@ class VPTree:
         visit(self.root, some)
 
 
-def search_bands(points: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the k points with the largest products found (-1: none), and the products; the longest vectors first."""
-    best, rows = np.full((len(queries), k), -np.inf), np.full((len(queries), k), -1)
-    band = np.frexp(lengths(points))[1]
-    for b in np.unique(band)[::-1]:
-        mine = np.flatnonzero(band == b)
-        VPTree(points[mine], mine).search(queries, best, rows, factor)
-    return rows, best
-
-
 def products(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
     """Row by row, always in the same order of summation, so equal vectors give equal values."""
     return np.einsum("ij,ij->i", queries, points)
 
 
+class Shard:
+    """The trees of one shard's rows, one for each band of norms."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, vectors = ids[order], vectors[order]
+        _, head, which = np.unique(vectors, axis=0, return_index=True, return_inverse=True)
+        place = np.argsort(np.argsort(head))  # points by their smallest ids
+        which = place[which.ravel()]
+        self.points = vectors[np.sort(head)]
+        self.members = np.argsort(which, kind="stable")  # ids of a point in ascending order
+        self.first = np.searchsorted(which[self.members], np.arange(len(self.points) + 1))
+        band = np.frexp(lengths(self.points))[1]
+        self.trees = [VPTree(self.points[mine], mine) for mine in (np.flatnonzero(band == b) for b in np.unique(band)[::-1])]  # the longest first
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query_id, vec_id, score) of the k best for each query, its own row left out."""
+        most = min(k + 1, len(self.points))
+        best, rows = np.full((len(queries), most), -np.inf), np.full((len(queries), most), -1)
+        for tree in self.trees:
+            tree.search(queries, best, rows, factor)
+        at, slot = np.nonzero(rows >= 0)
+        point, score = rows[at, slot], best[at, slot]
+        count = np.minimum(self.first[point + 1] - self.first[point], k + 1)
+        who = np.repeat(np.arange(len(at)), count)
+        step = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
+        vec, q, s = self.ids[self.members[self.first[point[who]] + step]], at[who], score[who]
+        other = vec != query_ids[q]
+        vec, q, s = vec[other], q[other], s[other]
+        order = np.lexsort((vec, -s, q))
+        vec, q, s = vec[order], q[order], s[order]
+        out = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return query_ids[q[out]], vec[out], s[out]
+
+
 def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of the k best of one shard for each query, its own row left out."""
-    order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
-    points, which = np.unique(vectors, axis=0, return_inverse=True)
-    which = which.ravel()
-    members = np.argsort(which, kind="stable")  # ids of a point in ascending order
-    first = np.searchsorted(which[members], np.arange(len(points) + 1))
-    rows, _ = search_bands(points, queries, min(k + 1, len(points)), factor)
-    at, slot = np.nonzero(rows >= 0)
-    point = rows[at, slot]
-    score = products(queries[at], points[point])
-    count = np.minimum(first[point + 1] - first[point], k + 1)
-    who = np.repeat(np.arange(len(at)), count)
-    step = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
-    vec, q, s = ids[members[first[point[who]] + step]], at[who], score[who]
-    other = vec != query_ids[q]
-    vec, q, s = vec[other], q[other], s[other]
-    order = np.lexsort((vec, -s, q))
-    vec, q, s = vec[order], q[order], s[order]
-    place = np.arange(len(q)) - np.searchsorted(q, q)
-    out = place < k
-    return query_ids[q[out]], vec[out], s[out]
-
-
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    column = column.combine_chunks()
-    if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return Shard(ids, vectors).search(query_ids, queries, k, factor)
+
+
+def _searched(k: int, factor: float):
+    """Rows (dim, shard, asks, id, v) in order: of each shard its vectors, then the queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, shard = None, [], None
+        for batch in batches:
+            dim, place, asks, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+            vectors, at = batch.column(4).flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(dim)])
+            edges = np.flatnonzero((dim[1:] != dim[:-1]) | (place[1:] != place[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(batch)]):
+                if (dim[lo], place[lo]) != key:
+                    key, held, shard = (dim[lo], place[lo]), [], None
+                part = vectors[at[lo] : at[hi]].reshape(hi - lo, -1)
+                if not asks[lo]:
+                    held.append((ids[lo:hi], part.copy()))
+                    continue
+                if not held and shard is None:
+                    continue  # no row lies in this shard
+                if shard is None:
+                    shard, held = Shard(*(np.concatenate(x) for x in zip(*held))), []
+                for i in range(lo, hi, QUERY_ROWS):
+                    j = min(hi, i + QUERY_ROWS)
+                    found = shard.search(ids[i:j], part[i - lo : j - lo], k, factor)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+
+    return run
 
 
 def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, factor: float = FACTOR, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -177,25 +221,14 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, factor: float =
     if base.groupBy("vec_id").count().filter("count > 1").limit(1).count():
         base = base.groupBy("vec_id").agg(F.min("v").alias("v"))
     base = base.withColumn("dim", F.size("v"))
-    query = F.pmod("vec_id", F.lit(every)) == 0
-    facts = base.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(query, 1)).alias("q"))
-    shards = F.ceil(F.col("n") / shard_rows).cast("int")
-    blocks = F.greatest(F.ceil(F.col("q") / QUERY_ROWS).cast("int"), F.lit(1))
-    few = facts.count() <= FEW_LENGTHS  # a row of 32 bytes for each length of vectors
-    told = base.join(F.broadcast(facts) if few else facts, "dim").withColumn("shards", shards).withColumn("blocks", blocks)
-    own = F.xxhash64("vec_id")
-    left = told.select("dim", F.pmod(own, F.col("shards")).alias("shard"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "v")
-    left = left.withColumn("block", F.col("block").cast("long"))
-    right = told.filter(query).select(F.col("dim").alias("q_dim"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("q_shard"), F.pmod(own, F.col("blocks")).alias("q_block"), F.col("vec_id").alias("query_id"), v.alias("q"))
-    right = right.withColumn("q_shard", F.col("q_shard").cast("long"))
-
-    def run(key, mine: pa.Table, asked: pa.Table) -> pa.Table:
-        names, kinds = ["query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.float64()]
-        if len(mine) == 0 or len(asked) == 0:
-            return pa.table([pa.array([], t) for t in kinds], names=names)
-        found = search_shard(mine["vec_id"].to_numpy(), _matrix(mine["v"]), asked["query_id"].to_numpy(), _matrix(asked["q"]), k, factor)
-        return pa.table([pa.array(x, t) for x, t in zip(found, kinds)], names=names)
-
-    best = left.groupBy("dim", "shard", "block").cogroup(right.groupBy("q_dim", "q_shard", "q_block")).applyInArrow(run, "query_id long, vec_id long, score double")
+    facts = base.groupBy("dim").agg(F.count("*").alias("n"))
+    parts = shuffle_partitions(vectors.sparkSession)
+    shards = F.ceil(F.greatest(F.col("n") / shard_rows, F.least(F.col("n") / LEAST_ROWS, F.lit(parts)))).cast("int")
+    few = facts.count() <= FEW_LENGTHS  # a row of 16 bytes for each length of vectors
+    told = base.join(F.broadcast(facts) if few else facts, "dim").withColumn("shards", shards)
+    rows = told.select("dim", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int").alias("shard"), F.lit(False).alias("asks"), "vec_id", "v")
+    asked = told.filter(F.pmod("vec_id", F.lit(every)) == 0).select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.lit(True).alias("asks"), "vec_id", "v")
+    dealt = rows.unionByName(asked).repartition(parts, "dim", "shard").sortWithinPartitions("dim", "shard", "asks")
+    best = dealt.mapInArrow(_searched(k, factor), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
