@@ -1,5 +1,8 @@
+import random
 import re
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import license_rules, license_scan
 
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -88,3 +91,15 @@ def test_keys_are_words_of_every_match():
 def test_rules_with_an_optional_space(spark):
     texts = ["released under the OpenRAIL-M license", "the CreativeML Open RAIL-M License", "open rail licence", "beerware license", "under the Beer-Ware License"]
     assert [r.labels for _, r in sorted(scanned(spark, texts).items())] == ["openrail"] * 3 + ["beerware"] * 2
+
+
+def test_outermost_like_all_pairs(spark):
+    """Of random detections, more than several blocks of them in a row: those that no earlier or better one contains."""
+    rng = random.Random(4)
+    kind = "array<struct<start:int,behind:int,priority:int,label:string,weight:double,base:boolean>>"
+    rows = [sorted((s, -(s + rng.randint(1, 30)), rng.randint(0, 3), rng.choice("ab"), 0.5, False) for s in (rng.randint(0, n) for _ in range(n))) for n in (0, 1, 5, 255, 256, 257, 1500)]
+    rows.append(sorted([(0, -10_000, 0, "a", 0.5, False)] + [(i, -(i + 2), 1, "b", 0.5, False) for i in range(2000)]))
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], f"id int, found {kind}")
+    for r in df.select("id", license_scan._outermost(F.col("found")).alias("kept")).collect():
+        found = rows[r.id]
+        assert [tuple(d) for d in r.kept] == [d for i, d in enumerate(found) if not any(e[1] <= d[1] for e in found[:i])]

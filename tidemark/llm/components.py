@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import materialise, with_totals
+from .frames import discard, materialise, with_totals
 
 MAX_STEPS = 60
 
@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable, for every id of an edge (a, b) but the smallest ones themselves."""
     now, before = materialise(edges.select("a", "b").filter("a != b").distinct(), "edges"), None
     for _ in range(MAX_STEPS):
-        now = materialise(_small(_large(now)), "edges")
+        old, now = now, materialise(_small(_large(now)), "edges")
+        discard(old)
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == before:
             return now.select(F.col("a").alias("id"), F.col("b").alias("component"))

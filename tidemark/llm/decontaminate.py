@@ -9,7 +9,8 @@ document that holds a signature shingle is a candidate, and is compared with the
 item's shingles as strings.
 
 The documents are read twice: once to look up hashes, once for the candidates.
-Signatures are broadcast up to BROADCAST_ROWS and joined by a shuffle beyond.
+Signatures are broadcast up to BROADCAST_ROWS, items' shingles up to BROADCAST_BYTES
+(an item can be a book), and joined by a shuffle beyond.
 
 Edge cases: null texts are empty; an item or document without words matches
 nothing; one with fewer words than ``n`` has one shingle of all of them; rows with
@@ -28,6 +29,8 @@ from .native import word_list
 WORDS, PERCENT = 5, 75
 #: Rows of 16 bytes: signature shingles, or candidate ids.
 BROADCAST_ROWS = 500_000
+#: Bytes of the items' shingles.
+BROADCAST_BYTES = 32 << 20
 
 
 def _places(words: Column, n: int) -> Column:
@@ -46,6 +49,11 @@ def _few(frame: DataFrame) -> DataFrame:
     return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
 
 
+def _light(frame: DataFrame, column: str) -> DataFrame:
+    size = frame.agg(F.sum(F.aggregate(column, F.lit(64).cast("long"), lambda n, x: n + F.octet_length(x) + 32))).first()[0]
+    return F.broadcast(frame) if (size or 0) <= BROADCAST_BYTES else frame
+
+
 def signatures(items: DataFrame, n: int, percent: int) -> DataFrame:
     """(token, item_id): items has item_id and hashes."""
     sized = items.withColumn("n_item", F.size("hashes")).filter("n_item > 0").withColumn("part", F.floor(F.log2("n_item")))
@@ -67,7 +75,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, perce
     some = texts.join(_few(hits.select("doc_id").distinct()), "doc_id", "left_semi")
     mine = some.select("doc_id", word_list(F.col("text")).alias("words")).select("doc_id", _strings(F.col("words"), n).alias("own"))
     by_item = items.select("item_id", "shingles")
-    told = mine.join(hits, "doc_id").join(_few(by_item), "item_id")
+    told = mine.join(hits, "doc_id").join(_light(by_item, "shingles"), "item_id")
     both = told.select("doc_id", "item_id", F.size("shingles").cast("long").alias("n_item"), F.size(F.array_intersect("own", "shingles")).cast("long").alias("n_common"))
     return both.filter(F.col("n_common") * 100 >= F.col("n_item") * percent).withColumn("containment", F.col("n_common") / F.col("n_item"))
 
@@ -75,4 +83,4 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, perce
 def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, with all their columns, that hold no item."""
     found = materialise(contained_items(docs, benchmark, n, percent).select("doc_id").distinct(), "contaminated")
-    return docs.join(_few(found), "doc_id", "left_anti")
+    return docs.join(_few(found), "doc_id", "left_anti").select(docs.columns)

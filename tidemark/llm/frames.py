@@ -34,6 +34,23 @@ def materialise(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def one_row_per_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without rows that have no id; of rows that share one, the one that texts_by_id() takes the text of, ties by a hash of all columns."""
+    some = docs.filter(F.col(id_col).isNotNull())
+    if not some.groupBy(id_col).count().filter("count > 1").limit(1).count():
+        return some
+    order = F.struct(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.xxhash64(*docs.columns))
+    return some.groupBy(F.col(id_col).alias("_id")).agg(F.min_by(F.struct(*docs.columns), order).alias("_row")).select("_row.*")
+
+
+def discard(frame: DataFrame) -> None:
+    """Deletes what materialise() wrote for a frame that is not needed any more."""
+    spark = frame.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def texts_by_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) with unique, non-null ids.
 

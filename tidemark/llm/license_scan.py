@@ -24,9 +24,8 @@ from pyspark.sql import functions as F
 from .license_rules import AFTER, ANCHORS, BEFORE, RULES
 from .native import word_list
 
-#: A detection is BEFORE + AFTER words long at most, so what may contain one is among so many before it.
-LOOK_BACK = 1000
-
+#: Detections whose greatest stop is found at once.
+BLOCK = 256
 
 _RULE = "struct<priority:int,label:string,weight:double,base:boolean,key:string,pattern:string>"
 _DETECTION = "struct<start:int,behind:int,priority:int,label:string,weight:double,base:boolean>"
@@ -64,6 +63,35 @@ def _at_anchor(words: Column, i: Column) -> Column:
     return F.flatten(F.transform(F.array(around), tried))  # an array of one: the words around are joined once
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), the value worked out once: an array of one."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _outermost(found: Column) -> Column:
+    """Detections that no other contains.
+
+    In order of start, then of greatest stop, then of priority, whatever contains a
+    detection stands before it, and all before it start no later: so one is contained
+    just when the greatest stop (the least behind) before it is no less than its own.
+    That is found by blocks, so that the work does not grow with the square of a
+    text's detections.
+    """
+    none = F.lit(2**31 - 1)
+
+    def kept(behind: Column, before: Column) -> Column:
+        def inside(d: Column, i: Column) -> Column:
+            block = F.floor(i / BLOCK).cast("int")
+            return (F.element_at(before, block + 1) <= d["behind"]) | F.exists(F.slice(behind, block * BLOCK + 1, i - block * BLOCK), lambda e: e <= d["behind"])
+
+        return F.filter(found, lambda d, i: ~inside(d, i))
+
+    blocks = lambda behind: F.sequence(F.lit(0), F.floor(F.size(behind) / BLOCK).cast("int"))
+    least = lambda behind: F.transform(blocks(behind), lambda b: F.coalesce(F.array_min(F.slice(behind, b * BLOCK + 1, BLOCK)), none))
+    before = lambda mins: F.transform(mins, lambda _, b: F.coalesce(F.array_min(F.slice(mins, F.lit(1), b)), none))
+    return _once(F.transform(found, lambda d: d["behind"]), lambda behind: _once(least(behind), lambda mins: _once(before(mins), lambda run: kept(behind, run))))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections array<struct<start, stop, label, weight>>."""
     anchors = _constant(ANCHORS, "array<string>")
@@ -73,10 +101,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     found = spots.withColumn("found", F.when(F.col("words").isNotNull(), F.array_sort(F.flatten(F.transform("spots", lambda i: _at_anchor(F.col("words"), i))))))
     none = F.array().cast(f"array<{_DETECTION}>")
     found = found.select("doc_id", "n_words", F.coalesce("found", none).alias("found"))
-    # In order of start, then of greatest stop, then of priority, whatever contains a detection stands before it.
-    inside = lambda d, i: F.exists(F.slice("found", F.greatest(i - LOOK_BACK, F.lit(0)) + 1, F.least(i, F.lit(LOOK_BACK))), lambda e: e["behind"] <= d["behind"])
     based = F.filter("found", lambda d: d["base"])
-    kept = found.select("doc_id", "n_words", based.alias("based"), F.filter("found", lambda d, i: ~inside(d, i)).alias("kept"))
+    kept = found.select("doc_id", "n_words", based.alias("based"), _outermost(F.col("found")).alias("kept"))
     labels = lambda c: F.transform(c, lambda d: d["label"])
     starts = F.transform("based", lambda d: d["start"].cast("long"))
     return kept.select(
