@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cell
-from ..plans.layout import layout
+from ..plans.layout import Merger, parse_decay, pieces
 
 #: Elements that a time slice of a stream should have, and the most slices of a stream.
 SLICE_ELEMENTS, MOST_SLICES = 5_000, 1_000_000
-#: Layout and slice tables are broadcast up to this many rows of 32 bytes, beyond which they are joined by a shuffle.
-BROADCAST_ROWS = 200_000
 CMS, BLOOM = (5, 1000), (5, 32768)
 
 
-def _small(frame: DataFrame) -> DataFrame:
-    return F.broadcast(frame) if frame.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else frame
+def as_of(asks: DataFrame, points: DataFrame) -> DataFrame:
+    """Each ask (stream_id, at, qid) with p, the last point (stream_id, at, p) at or before it.  One sort of both, whatever their numbers."""
+    none = points.schema["p"].dataType.simpleString()
+    both = points.select("stream_id", "at", F.lit(0).alias("asks"), F.lit(None).cast("long").alias("qid"), "p").unionByName(
+        asks.select("stream_id", "at", F.lit(1).alias("asks"), "qid", F.lit(None).cast(none).alias("p"))
+    )
+    before = Window.partitionBy("stream_id").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("p", F.last("p", True).over(before)).filter("asks = 1").select("stream_id", "qid", "p")
 
 
 def checked(elements: DataFrame, policy: str = "drop") -> DataFrame:
@@ -31,7 +37,7 @@ def checked(elements: DataFrame, policy: str = "drop") -> DataFrame:
 
 def sliced(elements: DataFrame) -> DataFrame:
     """Adds the slice of time of each element: the unit of work on a stream, so that one long stream is not one task."""
-    span = _small(elements.groupBy("stream_id").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.count("*").alias("k")))
+    span = elements.groupBy("stream_id").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.count("*").alias("k"))
     parts = F.least(F.ceil(F.col("k") / SLICE_ELEMENTS), F.lit(MOST_SLICES))
     width = F.greatest(F.ceil((F.col("t1") - F.col("t0") + 1) / parts), F.lit(1))
     return elements.join(span, "stream_id").withColumn("slice", F.floor((F.col("ts") - F.col("t0")) / width)).drop("t0", "t1", "k")
@@ -49,13 +55,13 @@ def neighbours(elements: DataFrame, *carried: str) -> DataFrame:
     own = Window.partitionBy("stream_id", "slice").orderBy("ts")
     near = {"prev": F.coalesce(F.lag("ts").over(own), "edge_prev"), "next": F.coalesce(F.lead("ts").over(own), "edge_next")}
     near |= {f"prev_{c}": F.coalesce(F.lag(c).over(own), f"edge_{c}") for c in carried}
-    return told.join(_small(edge), ["stream_id", "slice"]).withColumns(near).drop("edge_prev", "edge_next", *(f"edge_{c}" for c in carried))
+    return told.join(edge, ["stream_id", "slice"]).withColumns(near).drop("edge_prev", "edge_next", *(f"edge_{c}" for c in carried))
 
 
 def before_slice(per: DataFrame, *totals: str) -> DataFrame:
     """Of a table by stream and slice, the totals over the slices before."""
     earlier = Window.partitionBy("stream_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    return _small(per.select("stream_id", "slice", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in totals)))
+    return per.select("stream_id", "slice", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in totals))
 
 
 def numbered(elements: DataFrame) -> DataFrame:
@@ -69,62 +75,102 @@ def numbered(elements: DataFrame) -> DataFrame:
     before = Window.partitionBy("stream_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     shift = per.select("stream_id", "slice", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("shift"), F.sum("k").over(Window.partitionBy("stream_id")).alias("n"))
     own = Window.partitionBy("stream_id", "slice").orderBy("ts")
-    return told.withColumn("r", F.row_number().over(own) - 1).join(_small(shift), ["stream_id", "slice"]).select("stream_id", "ts", "value", "is_landmark", "n", "slice", "shift", (F.col("r") + F.col("shift")).alias("c"))
+    return told.withColumn("r", F.row_number().over(own) - 1).join(shift, ["stream_id", "slice"]).select("stream_id", "ts", "value", "is_landmark", "n", "slice", "shift", (F.col("r") + F.col("shift")).alias("c"))
+
+
+def extended(state: DataFrame) -> DataFrame:
+    """(stream_id, cs, ce) after more elements.  state: stream_id, spec, buffer, n (elements so far), more, windows array<struct<cs, ce>>.
+
+    Worked out by the workers, a stream at a time, from its windows so far: a batch
+    costs what it brings and not what the stream holds.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                merger = Merger.resume(parse_decay(r["spec"]), r["n"], [(w["cs"], w["ce"]) for w in r["windows"] or []])
+                for size in pieces(merger.decay, r["more"], r["buffer"]):
+                    merger.append(size)
+                w = merger.windows()
+                for i in range(0, len(w), 100_000):
+                    rows = [(r["stream_id"], cs, ce) for cs, ce in w[i : i + 100_000]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["stream_id", "cs", "ce"])
+
+    told = state.select(F.col("stream_id").cast("long"), "spec", F.col("buffer").cast("long"), F.col("n").cast("long"), F.col("more").cast("long"), "windows")
+    return told.mapInArrow(run, "stream_id long, cs long, ce long")
 
 
 def layouts(sizes: DataFrame, spec: str, buffer: int = 0) -> DataFrame:
-    """(n, cs, ce) for the distinct stream lengths n; each is a row of the driver, so are its O(sqrt n) windows."""
-    spark = sizes.sparkSession
-    rows = [(r.n, cs, ce) for r in sizes.select("n").distinct().toLocalIterator() for cs, ce in layout(spec, r.n, buffer)]
-    return spark.createDataFrame(rows, "n long, cs long, ce long")
+    """(n, cs, ce) for the distinct stream lengths n."""
+    none = F.array().cast("array<struct<cs:bigint,ce:bigint>>")
+    state = sizes.select(F.col("n").alias("stream_id")).distinct().select("stream_id", F.lit(spec).alias("spec"), F.lit(buffer).alias("buffer"), F.lit(0).alias("n"), F.col("stream_id").alias("more"), none.alias("windows"))
+    return extended(state).withColumnRenamed("stream_id", "n")
+
+
+def placed(told: DataFrame, plan: DataFrame) -> DataFrame:
+    """Numbered elements with the cs, ce of their window of plan (stream_id, cs, ce), found side by side in slices."""
+    heads = plan.select("stream_id", F.col("cs").alias("c"), F.col("cs").alias("head_cs"), F.col("ce").alias("head_ce"))
+    own = Window.partitionBy("stream_id", "slice").orderBy("c")
+    near = told.join(heads, ["stream_id", "c"], "left").withColumn("in_cs", F.last("head_cs", True).over(own)).withColumn("in_ce", F.last("head_ce", True).over(own))
+    slices = told.groupBy("stream_id", "slice").agg(F.min("c").alias("at"))
+    points = plan.select("stream_id", F.col("cs").alias("at"), F.struct("cs", "ce").alias("p"))
+    first = as_of(slices.select("stream_id", "at", F.col("slice").alias("qid")), points).select("stream_id", F.col("qid").alias("slice"), F.col("p.cs").alias("open_cs"), F.col("p.ce").alias("open_ce"))
+    told = near.join(first, ["stream_id", "slice"]).withColumn("cs", F.coalesce("in_cs", "open_cs")).withColumn("ce", F.coalesce("in_ce", "open_ce"))
+    return told.drop("head_cs", "head_ce", "in_cs", "in_ce", "open_cs", "open_ce")
 
 
 def assigned(elements: DataFrame, spec: str, buffer: int = 0) -> DataFrame:
     """Numbered elements with cs, ce of their window."""
     told = numbered(elements)
-    plan = layouts(told.groupBy("stream_id").agg(F.first("n").alias("n")), spec, buffer)
-    heads = _small(plan.select("n", F.col("cs").alias("c"), F.col("ce").alias("head_ce"), F.col("cs").alias("head_cs")))
-    own = Window.partitionBy("stream_id", "slice").orderBy("c")
-    near = told.join(heads, ["n", "c"], "left")
-    near = near.withColumn("cs", F.last("head_cs", True).over(own)).withColumn("ce", F.last("head_ce", True).over(own))
-    first = told.select("stream_id", "slice", "shift", "n").distinct().join(_small(plan), "n").filter("cs <= shift and shift <= ce").select("stream_id", "slice", F.col("cs").alias("open_cs"), F.col("ce").alias("open_ce"))
-    return near.join(_small(first), ["stream_id", "slice"]).select("stream_id", "ts", "value", "is_landmark", "n", "c", F.coalesce("cs", "open_cs").alias("cs"), F.coalesce("ce", "open_ce").alias("ce"))
+    each = told.groupBy("stream_id").agg(F.first("n").alias("n"))
+    plan = each.join(layouts(each, spec, buffer), "n").select("stream_id", "cs", "ce")
+    return placed(told, plan).select("stream_id", "ts", "value", "is_landmark", "n", "c", "cs", "ce")
 
 
 def _plain(c: str) -> Column:
     return F.when(~F.col("is_landmark"), F.col(c))
 
 
-def summarise(members: DataFrame) -> DataFrame:
-    """One row for each window: ts, te, cs, ce and a column for each operator.  Landmark values take a place and count nowhere."""
+def summarise(members: DataFrame, distinct: str = "value", ranks: str = "value", **own: Callable) -> DataFrame:
+    """One row for each window: ts, te, cs, ce and a column for each operator.  Landmark values take a place and count nowhere.
+
+    distinct, ranks: the columns that the sketches of distinct values and of quantiles
+    take in.  own: more operators, name=a function from the column of values (null for a
+    landmark's) to an aggregate; merge_windows() takes the functions that join their results.
+    """
     v = _plain("value")
     return members.groupBy("stream_id", "cs", "ce").agg(
         F.min("ts").alias("ts"), F.max("ts").alias("te"), F.count(v).alias("count"), F.coalesce(F.sum(v), F.lit(0)).alias("sum"), F.max(v).alias("max"),
-        F.hll_sketch_agg(v, 12).alias("hll"), F.kll_sketch_agg_bigint(v).alias("kll"),
+        F.hll_sketch_agg(_plain(distinct), 12).alias("hll"), F.kll_sketch_agg_bigint(_plain(ranks)).alias("kll"), *(f(v).alias(name) for name, f in own.items()),
     )
 
 
-def merge_windows(windows: DataFrame) -> DataFrame:
-    """Windows whose cs and ce were set to those of a coarser layout become one each."""
+def merge_windows(windows: DataFrame, **own: Callable) -> DataFrame:
+    """Windows whose cs and ce were set to those of a coarser layout become one each.  own: name=a function from its column to an aggregate that joins windows'."""
     return windows.groupBy("stream_id", "cs", "ce").agg(
         F.min("ts").alias("ts"), F.max("te").alias("te"), F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.max("max").alias("max"),
-        F.hll_union_agg("hll").alias("hll"), F.kll_merge_agg_bigint("kll").alias("kll"),
+        F.hll_union_agg("hll").alias("hll"), F.kll_merge_agg_bigint("kll").alias("kll"), *(f(F.col(name)).alias(name) for name, f in own.items()),
     )
 
 
-def build_windows(elements: DataFrame, spec: str, buffer: int = 0) -> DataFrame:
-    return summarise(assigned(elements, spec, buffer))
+def build_windows(elements: DataFrame, spec: str, buffer: int = 0, **own: Callable) -> DataFrame:
+    return summarise(assigned(elements, spec, buffer), **own)
+
+
+def _number(value: int | str) -> Column:
+    """A parameter that is the same for all streams, or a column with each stream's own."""
+    return F.col(value) if isinstance(value, str) else F.lit(value)
 
 
-def cms_cells(members: DataFrame, depth: int = CMS[0], width: int = CMS[1]) -> DataFrame:
+def cms_cells(members: DataFrame, depth: int | str = CMS[0], width: int | str = CMS[1]) -> DataFrame:
     """(stream_id, cs, row, col, n): the count-min sketch of each window, one row for each used cell."""
-    rows = members.filter("not is_landmark").select("stream_id", "cs", "value", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("row"))
-    return rows.groupBy("stream_id", "cs", "row", cell(F.col("value"), F.col("row"), width).alias("col")).agg(F.count("*").alias("n"))
+    rows = members.filter("not is_landmark").select("stream_id", "cs", "value", _number(width).alias("width"), F.explode(F.sequence(F.lit(0), _number(depth) - 1)).alias("row"))
+    return rows.groupBy("stream_id", "cs", "row", F.pmod(F.xxhash64("value", "row"), "width").alias("col")).agg(F.count("*").alias("n"))
 
 
-def bloom_bits(members: DataFrame, hashes: int = BLOOM[0], bits: int = BLOOM[1]) -> DataFrame:
+def bloom_bits(members: DataFrame, hashes: int | str = BLOOM[0], bits: int | str = BLOOM[1]) -> DataFrame:
     """(stream_id, cs, bucket, bitmap): the Bloom filter of each window, in bitmaps of 32768 bits."""
-    rows = members.filter("not is_landmark").select("stream_id", "cs", "value", F.explode(F.sequence(F.lit(0), F.lit(hashes - 1))).alias("k")).select("stream_id", "cs", cell(F.col("value"), F.col("k"), bits).alias("pos"))
+    rows = members.filter("not is_landmark").select("stream_id", "cs", "value", _number(bits).alias("bits"), F.explode(F.sequence(F.lit(0), _number(hashes) - 1)).alias("k")).select("stream_id", "cs", F.pmod(F.xxhash64("value", "k"), "bits").alias("pos"))
     return rows.groupBy("stream_id", "cs", F.bitmap_bucket_number("pos").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("pos")).alias("bitmap"))
 
 

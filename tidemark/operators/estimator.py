@@ -7,10 +7,15 @@ the time that landmarks take up is not part of a window's.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cell, normal_quantile, overlap
+from ..functions.scalars import cell, normal_quantile
+from .build import as_of
+
+END_OF_TIME = (1 << 62) - 1
 
 
 def clamped(queries: DataFrame, stats: DataFrame) -> DataFrame:
@@ -21,43 +26,120 @@ def clamped(queries: DataFrame, stats: DataFrame) -> DataFrame:
     return queries.join(stats, "stream_id").withColumn("t0", F.greatest("l", "first_ts")).withColumn("t1", F.least("r", "last_ts")).filter("t0 <= t1")
 
 
-def touched(queries: DataFrame, windows: DataFrame) -> DataFrame:
-    """Each query with the windows that it touches.  An equi-join on the stream with a range condition."""
-    return queries.join(windows, "stream_id").filter("ts <= t1 and te >= t0")
+def numbered_windows(windows: DataFrame) -> DataFrame:
+    """Adds i, the place of each window in its stream."""
+    return windows.withColumn("i", F.row_number().over(Window.partitionBy("stream_id").orderBy("ts")) - 1)
+
+
+def located(asked: DataFrame, windows: DataFrame, *carried: str) -> DataFrame:
+    """asked (qid, stream_id, t0, t1, ...) with a and b: the first and the last window that each touches, structs of i, ts, te, next_ts and the carried columns.
+
+    windows must have i.  A window that ends before t0, even if the next begins after t0, is
+    not touched.  Queries that touch no window have a null a and b.  Windows meet queries
+    in two as-of lookups, so nothing grows with windows times queries.
+    """
+    order = Window.partitionBy("stream_id").orderBy("ts")
+    w = windows.withColumn("next_ts", F.lead("ts").over(order)).withColumn("from", F.coalesce(F.lag("te").over(order) + 1, F.lit(-(1 << 62))))
+    p = F.struct("i", "ts", "te", "next_ts", *carried).alias("p")
+    first = as_of(asked.select("stream_id", F.col("t0").alias("at"), "qid"), w.select("stream_id", F.col("from").alias("at"), p))
+    last = as_of(asked.select("stream_id", F.col("t1").alias("at"), "qid"), w.select("stream_id", F.col("ts").alias("at"), p))
+    both = first.select("qid", F.col("p").alias("a")).join(last.select("qid", F.col("p").alias("b")), "qid")
+    some = (F.col("a.i") <= F.col("b.i")) & (F.col("a.te") >= F.col("t0"))
+    return asked.join(both, "qid").withColumn("some", F.coalesce(some, F.lit(False))).withColumn("a", F.when(F.col("some"), F.col("a"))).withColumn("b", F.when(F.col("some"), F.col("b"))).drop("some")
+
+
+def touched(asked: DataFrame, windows: DataFrame) -> DataFrame:
+    """Each query with the windows that it touches, joined by their places."""
+    w = numbered_windows(windows)
+    spans = located(asked, w).filter("a is not null")
+    each = spans.select(*asked.columns, F.explode(F.sequence(F.col("a.i"), F.col("b.i"))).alias("i"))
+    return each.join(w, ["stream_id", "i"])
+
+
+#: Windows that are merged beforehand for queries that touch all of them.
+UNIT = 256
+
+
+def merged(asked: DataFrame, windows: DataFrame, merges: dict[str, Callable], *keys: str) -> DataFrame:
+    """Per query the merge of columns of all windows that it touches: name -> an aggregate that joins its own results.
+
+    Whole units of UNIT windows are merged once for all queries; a query reads those
+    and the single windows at its two ends.
+    """
+    w = numbered_windows(windows)
+    single = w.select("stream_id", F.lit(0).alias("level"), F.col("i").alias("place"), *merges)
+    units = w.groupBy("stream_id", F.floor(F.col("i") / UNIT).cast("int").alias("place")).agg(*(f(c).alias(c) for c, f in merges.items()))
+    both = single.unionByName(units.select("stream_id", F.lit(1).alias("level"), "place", *merges))
+    i, j = F.col("a.i"), F.col("b.i")
+    low, high = F.ceil(i / UNIT).cast("int"), F.floor((j + 1) / UNIT).cast("int")  # whole units: low to high - 1
+    run = lambda x, y: F.when(x <= y, F.sequence(x, y)).otherwise(F.array().cast("array<int>"))
+    ends = F.when(low < high, F.concat(run(i, low * UNIT - 1), run(high * UNIT, j))).otherwise(run(i, j))
+    parts = F.concat(F.transform(ends, lambda x: F.struct(F.lit(0).alias("level"), x.alias("place"))), F.transform(run(low, high - 1), lambda x: F.struct(F.lit(1).alias("level"), x.alias("place"))))
+    spans = located(asked, w).filter("a is not null").select("qid", "stream_id", F.inline(parts))
+    return spans.join(both, ["stream_id", "level", "place"]).groupBy("qid").agg(*(f(c).alias(c) for c, f in merges.items()))
+
+
+def united(landmarks: DataFrame) -> DataFrame:
+    """Landmark windows (stream_id, ts, te) without overlaps; one that has not ended reaches to the end of time."""
+    end = F.coalesce("te", F.lit(END_OF_TIME))
+    order = Window.partitionBy("stream_id").orderBy("ts", "te")
+    told = landmarks.select("stream_id", "ts", end.alias("te"))
+    reach = F.max("te").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    told = told.withColumn("new", F.coalesce(F.col("ts") > reach, F.lit(True)).cast("int")).withColumn("k", F.sum("new").over(order))
+    return told.groupBy("stream_id", "k").agg(F.min("ts").alias("ts"), F.max("te").alias("te")).drop("k")
+
+
+def occupied(spans: DataFrame, landmarks: DataFrame) -> DataFrame:
+    """Ticks of each span (key, stream_id, low, high) that landmarks take up, by differences of running totals: key, ticks."""
+    m = united(landmarks)
+    order = Window.partitionBy("stream_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    m = m.withColumn("before", F.coalesce(F.sum(F.col("te") - F.col("ts") + 1).over(order), F.lit(0)))
+    points = m.select("stream_id", F.col("ts").alias("at"), F.struct("ts", "te", "before").alias("p"))
+    edges = spans.select("stream_id", "key", F.inline(F.array(F.struct(F.lit(1).alias("sign"), F.col("high").alias("at")), F.struct(F.lit(-1).alias("sign"), (F.col("low") - 1).alias("at"))))).withColumn("qid", F.xxhash64("key", "sign"))
+    found = as_of(edges.select("stream_id", "at", "qid").distinct(), points).select("qid", "p")
+    upto = F.when(F.col("p").isNull(), F.lit(0)).otherwise(F.col("p.before") + F.least(F.col("at"), F.col("p.te")) - F.col("p.ts") + 1)
+    return edges.join(found, "qid", "left").groupBy("key").agg(F.sum(F.col("sign") * upto).alias("ticks"))
+
+
+def exact_values(asked: DataFrame, values: DataFrame) -> DataFrame:
+    """Landmark values (stream_id, ts, ...) inside each query's interval: landmarks are few beside the elements."""
+    v = values.withColumnRenamed("ts", "v_ts")
+    return asked.select("qid", "stream_id", "t0", "t1").join(v, "stream_id").filter("v_ts between t0 and t1")
 
 
 def estimate(queries: DataFrame, windows: DataFrame, stats: DataFrame, measure: str, multiplier: Column, confidence: float = 0.95, landmarks: DataFrame | None = None, landmark_values: DataFrame | None = None) -> DataFrame:
-    """qid, result, ci_low, ci_high.
+    """qid, result, ci_low, ci_high; ci_low <= result <= ci_high.
 
     windows: stream_id, ts, te and the column ``measure``.  multiplier: the standard
     deviation of a unit of variance, from the columns of stats.  landmarks:
     (stream_id, ts, te); landmark_values: (stream_id, ts, s), s what a value adds.
+    The ticks of landmarks are taken from an edge window's span, and from the part of
+    it that the query covers: of each, those that lie in it.
     """
     asked = clamped(queries, stats).withColumn("k", multiplier)
-    order = Window.partitionBy("qid").orderBy("ts")
-    seen = touched(asked, windows.select("stream_id", "ts", "te", F.col(measure).cast("double").alias("s"))).withColumn("i", F.row_number().over(order))
-    edges = seen.groupBy("qid").agg(
-        F.count("*").alias("w"), F.min("ts").alias("ts1"), F.max("te").alias("te"), F.max("ts").alias("tm1"), F.max(F.when(F.col("i") == 2, F.col("ts"))).alias("ts2"),
-        F.max_by("s", -F.col("i")).alias("sl"), F.max_by("s", "i").alias("sr"), F.sum("s").alias("all"),
-    )
-    q = asked.select("qid", "stream_id", "t0", "t1", "k").join(edges, "qid", "left").withColumn("tm0", F.coalesce("ts2", F.col("te") + 1)).withColumn("w", F.coalesce("w", F.lit(0)))
-    c = {x: F.col(x) for x in ("t0", "t1", "ts1", "te", "tm0", "tm1")}
-    two = F.col("w") > 1
-    q = q.withColumn("span_l", c["tm0"] - c["ts1"]).withColumn("cover_l", overlap(c["ts1"], c["tm0"] - 1, c["t0"], c["t1"])).withColumn("span_r", F.when(two, c["te"] - c["tm1"] + 1)).withColumn("cover_r", F.when(two, overlap(c["tm1"], c["te"], c["t0"], c["t1"])))
+    order = Window.partitionBy("stream_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    w = numbered_windows(windows.select("stream_id", "ts", "te", F.col(measure).cast("double").alias("s"))).withColumn("run", F.sum("s").over(order))
+    q = located(asked.select("qid", "stream_id", "t0", "t1", "k"), w, "s", "run")
+    two = F.col("a.i") < F.col("b.i")
+    q = q.withColumn("w", F.coalesce(F.col("b.i") - F.col("a.i") + 1, F.lit(0)))
+    q = q.withColumn("l0", F.col("a.ts")).withColumn("l1", F.when(two, F.col("a.next_ts") - 1).otherwise(F.col("a.te")))
+    q = q.withColumn("r0", F.when(two, F.col("b.ts"))).withColumn("r1", F.when(two, F.col("b.te")))
+    q = q.withColumn("sl", F.col("a.s")).withColumn("sr", F.col("b.s")).withColumn("middle", F.when(F.col("w") > 2, F.col("b.run") - F.col("b.s") - F.col("a.run")).otherwise(0.0))
+    spans = {"span_l": ("l0", "l1"), "span_r": ("r0", "r1"), "cover_l": (F.greatest("l0", "t0"), F.least("l1", "t1")), "cover_r": (F.greatest("r0", "t0"), F.least("r1", "t1"))}
+    for name, (low, high) in spans.items():
+        low, high = (F.col(x) if isinstance(x, str) else x for x in (low, high))
+        side = F.col("r0" if name.endswith("r") else "l0").isNotNull()
+        q = q.withColumn(f"{name}_0", F.when(side, low)).withColumn(f"{name}_1", F.when(side, F.greatest(high, low - 1)))
+        q = q.withColumn(name, F.coalesce(F.col(f"{name}_1") - F.col(f"{name}_0") + 1, F.lit(0)))
     if landmarks is not None:
-        end = F.coalesce(F.col("m_te"), F.lit((1 << 62) - 1))
-        m = landmarks.select("stream_id", F.col("ts").alias("m_ts"), F.col("te").alias("m_te"))
-        hit = q.select("qid", "stream_id", "t0", "t1", "ts1", "te", "tm0", "tm1", "w").join(m, "stream_id").filter((F.col("m_ts") <= F.col("t1")) & (end >= F.col("t0")))
-        over = lambda a, b: overlap(F.col("m_ts"), end, a, b)
-        less = hit.groupBy("qid").agg(
-            F.sum(over(c["ts1"], c["tm0"] - 1)).alias("less_span_l"), F.sum(over(c["t0"], c["tm0"] - 1)).alias("less_cover_l"), F.sum(over(c["tm1"], c["te"])).alias("less_span_r"), F.sum(over(c["tm1"], c["t1"])).alias("less_cover_r"),
-        )
-        q = q.join(less, "qid", "left")
+        pieces = F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"{n}_0").alias("low"), F.col(f"{n}_1").alias("high")) for n in spans))
+        told = q.select("qid", "stream_id", F.inline(pieces)).filter("low <= high").withColumn("key", F.struct("qid", "name"))
+        less = occupied(told, landmarks).select("key.qid", "key.name", "ticks").groupBy("qid").pivot("name", list(spans)).agg(F.sum("ticks"))
+        q = q.join(less.select("qid", *(F.col(n).alias(f"less_{n}") for n in spans)), "qid", "left")
     else:
-        q = q.select("*", *(F.lit(0).cast("long").alias(x) for x in ("less_span_l", "less_cover_l", "less_span_r", "less_cover_r")))
+        q = q.select("*", *(F.lit(0).cast("long").alias(f"less_{n}") for n in spans))
     if landmark_values is not None:
-        v = landmark_values.select("stream_id", F.col("ts").alias("v_ts"), F.col("s").cast("double").alias("v"))
-        exact = q.select("qid", "stream_id", "t0", "t1").join(v, "stream_id").filter("v_ts between t0 and t1").groupBy("qid").agg(F.sum("v").alias("sm"))
+        exact = exact_values(asked, landmark_values.select("stream_id", "ts", F.col("s").cast("double").alias("v"))).groupBy("qid").agg(F.sum("v").alias("sm"))
         q = q.join(exact, "qid", "left")
     else:
         q = q.withColumn("sm", F.lit(0.0))
@@ -77,20 +159,31 @@ def interval(confidence: float) -> list[Column]:
     T1, p1 = n0("span_l") - n0("less_span_l"), n0("cover_l") - n0("less_cover_l")
     T2, p2 = n0("span_r") - n0("less_span_r"), n0("cover_r") - n0("less_cover_r")
     w = F.coalesce(F.col("w"), F.lit(0))
-    sl, sr = F.when(w > 0, F.col("sl")).otherwise(zero), F.when(w > 1, F.col("sr")).otherwise(zero)
-    middle = F.when(w > 2, F.col("all") - F.col("sl") - F.col("sr")).otherwise(zero)
-    exact = n0("sm") + middle
+    sl, sr = F.when(w > 0, F.col("sl")).otherwise(zero), F.when(w > 1, F.col("sr")).otherwise(zero)  # of one window, sl is all
+    exact = n0("sm") + F.coalesce(F.col("middle"), zero)
     share = lambda s, t, T: F.when(T > 0, s * t / T).otherwise(zero)
-    spread = lambda s, t, T: F.when(T > 0, s * (t / T) * (1 - t / T)).otherwise(zero)
+    spread = lambda s, t, T: F.when(T > 0, F.abs(s) * (t / T) * (1 - t / T)).otherwise(zero)
     mean = exact + share(sl, p1, T1) + F.when(w > 1, share(sr, p2, T2)).otherwise(zero)
     var = spread(sl, p1, T1) + F.when(w > 1, spread(sr, p2, T2)).otherwise(zero)
-    low = exact + F.when(p1 == T1, sl).otherwise(zero) + F.when((w > 1) & (p2 == T2), sr).otherwise(zero)
-    high = exact + sl + sr
+    whole = lambda s, t, T: F.when(t == T, s).otherwise(zero)
+    part = lambda s, t, f: f(s, whole(s, t[0], t[1]))
+    # What an edge window adds lies between nothing (all of it, if it is covered whole) and all of it, whatever the sign of its sum.
+    low = exact + part(sl, (p1, T1), F.least) + F.when(w > 1, part(sr, (p2, T2), F.least)).otherwise(zero)
+    high = exact + part(sl, (p1, T1), F.greatest) + F.when(w > 1, part(sr, (p2, T2), F.greatest)).otherwise(zero)
     z = normal_quantile(confidence)
     if z is None:
-        return [mean.alias("result"), F.least(low, high).alias("ci_low"), F.greatest(low, high).alias("ci_high")]
+        return [mean.alias("result"), F.least(low, mean).alias("ci_low"), F.greatest(high, mean).alias("ci_high")]
     half = F.lit(z) * F.coalesce(F.col("k"), zero) * F.sqrt(F.greatest(var, zero))
-    return [mean.alias("result"), F.greatest(mean - half, F.least(low, high)).alias("ci_low"), F.least(mean + half, F.greatest(low, high)).alias("ci_high")]
+    return [mean.alias("result"), F.least(F.greatest(mean - half, low), mean).alias("ci_low"), F.greatest(F.least(mean + half, high), mean).alias("ci_high")]
+
+
+def mean(counts: DataFrame, sums: DataFrame) -> DataFrame:
+    """qid, result (null of nothing), ci_low, ci_high of the mean, from estimates of the count and the sum."""
+    c = counts.select("qid", *(F.col(x).alias(f"n_{x}") for x in ("result", "ci_low", "ci_high")))
+    ratio = lambda top, bottom: F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom))
+    corners = [ratio(f"ci_{x}", f"n_ci_{y}") for x in ("low", "high") for y in ("low", "high")]
+    told = sums.join(c, "qid").withColumn("mean", ratio("result", "n_result"))
+    return told.select("qid", F.col("mean").alias("result"), F.least("mean", *corners).alias("ci_low"), F.greatest("mean", *corners).alias("ci_high"))
 
 
 def count_multiplier() -> Column:
@@ -104,10 +197,9 @@ def sum_multiplier() -> Column:
 def interval_max(queries: DataFrame, windows: DataFrame, stats: DataFrame, landmark_values: DataFrame | None = None) -> DataFrame:
     """qid, result (null: nothing there), certain: whether no summary took part.  A window counts whole, so it is an upper bound."""
     asked = clamped(queries, stats)
-    parts = touched(asked, windows).select("qid", F.col("max").alias("v"), F.col("max").isNotNull().alias("s"))
+    parts = merged(asked, windows.select("stream_id", "ts", "te", "max"), {"max": F.max}).select("qid", F.col("max").alias("v"), F.col("max").isNotNull().alias("s"))
     if landmark_values is not None:
-        v = landmark_values.select("stream_id", F.col("ts").alias("v_ts"), F.col("value").alias("v"))
-        parts = parts.unionByName(asked.join(v, "stream_id").filter("v_ts between t0 and t1").select("qid", "v", F.lit(False).alias("s")))
+        parts = parts.unionByName(exact_values(asked, landmark_values.select("stream_id", "ts", "value")).select("qid", F.col("value").alias("v"), F.lit(False).alias("s")))
     found = parts.groupBy("qid").agg(F.max("v").alias("result"), (~F.max("s")).alias("certain"))
     return queries.select("qid").join(found, "qid", "left").select("qid", "result", F.coalesce("certain", F.lit(True)).alias("certain"))
 
@@ -128,24 +220,58 @@ def frequency(queries: DataFrame, windows: DataFrame, cells: DataFrame, stats: D
     return estimate(queries.select("qid", key, "l", "r"), mine, per(stats, *names), "f", count_multiplier(), confidence, None if landmarks is None else per(landmarks, "ts", "te"), exact)
 
 
-def membership(queries: DataFrame, windows: DataFrame, bits: DataFrame, stats: DataFrame, hashes: int, size: int) -> DataFrame:
-    """qid, found: whether some touched window's Bloom filter holds ``value``."""
-    asked = touched(clamped(queries, stats), windows.select("stream_id", "cs", "ts", "te")).select("qid", "stream_id", "cs", "value", F.explode(F.sequence(F.lit(0), F.lit(hashes - 1))).alias("k"))
+def membership(queries: DataFrame, windows: DataFrame, bits: DataFrame, stats: DataFrame, hashes: int, size: int, landmark_values: DataFrame | None = None) -> DataFrame:
+    """qid, found, error: whether the query's ``value`` is a landmark's value in the interval, or some touched window's Bloom filter holds it.
+
+    error is the chance that the answer is wrong: none for an absent value and for a
+    landmark's; else that it lies in a touched window outside of the query's interval,
+    or that the filter, taken to err once in a hundred, is wrong.
+    """
+    clear = clamped(queries, stats)
+    spans = located(clear, numbered_windows(windows.select("stream_id", "cs", "ts", "te")), "cs").filter("a is not null")
+    asked = touched(clear, windows.select("stream_id", "cs", "ts", "te")).select("qid", "stream_id", "cs", "value", F.explode(F.sequence(F.lit(0), F.lit(hashes - 1))).alias("k"))
     pos = asked.withColumn("pos", cell(F.col("value"), F.col("k"), size)).withColumn("bucket", F.bitmap_bucket_number("pos")).withColumn("bit", F.bitmap_bit_position("pos"))
     byte = F.conv(F.hex(F.substring("bitmap", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     set_ = F.floor(byte / F.pow(F.lit(2), F.col("bit") % 8)) % 2 == 1
     has = pos.join(bits, ["stream_id", "cs", "bucket"], "left").withColumn("has", F.coalesce(set_, F.lit(False)))
-    each = has.groupBy("qid", "cs").agg(F.min("has").alias("all")).groupBy("qid").agg(F.max("all").alias("found"))
-    return queries.select("qid").join(each, "qid", "left").select("qid", F.coalesce("found", F.lit(False)).alias("found"))
+    each = has.groupBy("qid", "cs").agg(F.min("has").alias("all")).groupBy("qid").agg(F.max("all").alias("seen"))
+    share = F.col("t1") - F.col("t0") + 1
+    chance = spans.select("qid", (1 - 0.99 * F.least(share / (F.col("b.te") - F.col("a.ts") + 1), F.lit(1.0))).alias("chance"))
+    told = queries.select("qid").join(each, "qid", "left").join(chance, "qid", "left")
+    if landmark_values is not None:
+        v = exact_values(clear, landmark_values.select("stream_id", "ts", F.col("value").alias("v"))).join(clear.select("qid", "value"), "qid").filter("v = value").select("qid", F.lit(True).alias("kept")).distinct()
+        told = told.join(v, "qid", "left")
+    else:
+        told = told.withColumn("kept", F.lit(None).cast("boolean"))
+    exact, seen = F.coalesce("kept", F.lit(False)), F.coalesce("seen", F.lit(False))
+    return told.select("qid", (exact | seen).alias("found"), F.when(~exact & seen, F.col("chance")).otherwise(0.0).alias("error"))
 
 
-def distinct_count(queries: DataFrame, windows: DataFrame, stats: DataFrame) -> DataFrame:
-    """Distinct values of the touched windows, their sketches united before the estimate."""
-    return touched(clamped(queries, stats), windows.select("stream_id", "ts", "te", "hll")).groupBy("qid").agg(F.hll_sketch_estimate(F.hll_union_agg("hll")).alias("result"))
+def distinct_count(queries: DataFrame, windows: DataFrame, stats: DataFrame, landmark_values: DataFrame | None = None) -> DataFrame:
+    """Distinct values of the touched windows and of landmarks in the interval, the sketches united before the estimate."""
+    asked = clamped(queries, stats)
+    parts = merged(asked, windows.select("stream_id", "ts", "te", "hll"), {"hll": F.hll_union_agg})
+    if landmark_values is not None:
+        parts = parts.unionByName(exact_values(asked, landmark_values.select("stream_id", "ts", "value")).groupBy("qid").agg(F.hll_sketch_agg("value", 12).alias("hll")))
+    found = parts.groupBy("qid").agg(F.hll_sketch_estimate(F.hll_union_agg("hll")).alias("result"))
+    return queries.select("qid").join(found, "qid", "left").fillna(0, ["result"])
+
+
+def quantile(queries: DataFrame, windows: DataFrame, stats: DataFrame, q: float, landmark_values: DataFrame | None = None) -> DataFrame:
+    """The q-quantile of the values of touched windows and of landmarks in the interval (null: nothing there)."""
+    asked = clamped(queries, stats)
+    parts = merged(asked, windows.select("stream_id", "ts", "te", "kll"), {"kll": F.kll_merge_agg_bigint})
+    if landmark_values is not None:
+        parts = parts.unionByName(exact_values(asked, landmark_values.select("stream_id", "ts", "value")).groupBy("qid").agg(F.kll_sketch_agg_bigint("value").alias("kll")))
+    one = parts.groupBy("qid").agg(F.kll_merge_agg_bigint("kll").alias("kll")).filter(F.kll_sketch_get_n_bigint("kll") > 0)
+    found = one.select("qid", F.kll_sketch_get_quantile_bigint("kll", F.lit(q)).alias("result"))
+    return queries.select("qid").join(found, "qid", "left")
 
 
-def quantile(queries: DataFrame, windows: DataFrame, stats: DataFrame, q: float) -> DataFrame:
-    return touched(clamped(queries, stats), windows.filter("count > 0").select("stream_id", "ts", "te", "kll")).groupBy("qid").agg(F.kll_sketch_get_quantile_bigint(F.kll_merge_agg_bigint("kll"), F.lit(q)).alias("result"))
+def range_frequency(queries: DataFrame, windows: DataFrame, stats: DataFrame, low: int, high: int, confidence: float = 0.95, landmarks: DataFrame | None = None, landmark_values: DataFrame | None = None) -> DataFrame:
+    """Estimated number of values in [low, high]: from the quantile sketches of windows, exactly of landmarks."""
+    exact = None if landmark_values is None else landmark_values.filter(F.col("value").between(low, high)).select("stream_id", "ts", F.lit(1).alias("s"))
+    return estimate(queries, with_range_counts(windows, low, high), stats, "in_range", count_multiplier(), confidence, landmarks, exact)
 
 
 def with_range_counts(windows: DataFrame, low: int, high: int) -> DataFrame:

@@ -3,7 +3,7 @@
 A decay is a sequence of non-decreasing target lengths, the first for the newest
 elements.  The element with count c has age N - c (the newest 1).  Neighbouring
 windows merge as soon as both lie within one target window, so a layout depends
-on counts alone and is worked out on the driver, whatever the data.
+on counts alone, whatever the data, and can go on from the windows of before.
 """
 
 from __future__ import annotations
@@ -86,6 +86,20 @@ class Merger:
         self.heap: list[tuple[int, int, int, int]] = []
         self.last: int | None = None
 
+    @classmethod
+    def resume(cls, decay: Decay, n: int, windows: list[tuple[int, int]]) -> Merger:
+        """The merger after n elements that gave these windows."""
+        m = cls(decay)
+        m.n = n
+        ordered = sorted(windows)
+        m.ends = dict(ordered)
+        for (a, _), (b, _) in zip(ordered, ordered[1:]):
+            m.after[a], m.before[b] = b, a
+        m.last = ordered[-1][0] if ordered else None
+        for a, _ in ordered[:-1]:
+            m._plan(a)
+        return m
+
     def _plan(self, a: int) -> None:
         b = self.after.get(a)
         if b is not None and (at := self.decay.first_containing(a, self.ends[b], self.n)) >= 0:
