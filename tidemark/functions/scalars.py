@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from datetime import datetime, timezone
 from statistics import NormalDist
 
 from pyspark.sql import Column
@@ -15,19 +16,11 @@ def overlap(a: Column, b: Column, p: Column, q: Column) -> Column:
     return F.greatest(F.least(b, q) - F.greatest(a, p) + 1, F.lit(0))
 
 
-def length(a: Column, b: Column) -> Column:
-    return b - a + 1
-
-
 def normal_quantile(confidence: float) -> float | None:
     """The z of a two-sided interval; None stands for infinity (confidence 1)."""
     return None if confidence >= 1 else NormalDist().inv_cdf((1 + confidence) / 2)
 
 
-def ratio(top: Column, bottom: Column) -> Column:
-    return F.when(bottom != 0, top / bottom).otherwise(F.lit(0.0))
-
-
 def cell(value: Column, row: Column | int, width: int) -> Column:
     """The column of a value in a row of a hashed table."""
     return F.pmod(F.xxhash64(value, F.lit(row) if isinstance(row, int) else row), F.lit(width))
@@ -55,7 +48,26 @@ def zipf_value(u: Column, n: int, skew: float) -> Column:
     return (F.size(F.filter(F.from_json(F.lit(json.dumps(steps)), "array<double>"), lambda s: s < u)) + 1).cast("long")
 
 
-SAMPLERS = {"exponential": exponential_gap, "pareto": pareto_gap, "uniform": uniform_value, "zipf": zipf_value, "fixed": lambda u, value: F.lit(value).cast("long")}
+#: Share of backups up to each band's end, and the band's sizes in KB from and to: fixed values of the backup trace.
+FILE_SIZES = ((0.22, 0, 1023), (0.48, 1024, 10_239), (0.66, 10_240, 102_399), (0.84, 102_400, 1_048_575), (1.0, 1_048_576, 10_485_759))
+
+
+def file_size(u: Column) -> Column:
+    """A backup's size in KB: the band by its share, the place in the band by what u has beyond it."""
+    out, before = None, 0.0
+    for share, low, high in FILE_SIZES:
+        size = (F.floor((u - before) / (share - before) * (high - low + 1)) + low).cast("long")
+        size, before = F.least(size, F.lit(high)), share
+        out = F.when(u < share, size) if out is None else out.when(u < share, size)
+    return out.otherwise(F.lit(FILE_SIZES[-1][2]).cast("long"))
+
+
+def unix_ts(year: int, month: int, day: int) -> int:
+    """Seconds of a day's start, in UTC."""
+    return int(datetime(year, month, day, tzinfo=timezone.utc).timestamp())
+
+
+SAMPLERS = {"exponential": exponential_gap, "pareto": pareto_gap, "uniform": uniform_value, "zipf": zipf_value, "fixed": lambda u, value: F.lit(value).cast("long"), "file_size": file_size}
 
 
 def config_hash(config: dict) -> str:

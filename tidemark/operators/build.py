@@ -5,24 +5,44 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.layout import Merger, parse_decay, pieces
+from ..plans import layout as _layout
+from ..plans.layout import CUSTOM, Merger, parse_decay, pieces
+
+cloudpickle.register_pickle_by_value(_layout)  # workers need not have the package
 
 #: Elements that a time slice of a stream should have, and the most slices of a stream.
 SLICE_ELEMENTS, MOST_SLICES = 5_000, 1_000_000
 CMS, BLOOM = (5, 1000), (5, 32768)
 
 
+def lookups(asks: DataFrame, at: dict[str, tuple[str, Column]], *points: DataFrame) -> DataFrame:
+    """asks (stream_id, qid, ...; qid unique) with a column for each label of ``at``: label -> (name of points, time).
+
+    It is the last of the named points at or before that time (null: none).  points:
+    (stream_id, at) and a struct column for each name.  All lookups are one sort of
+    points and asks by stream and time, whatever their numbers.
+    """
+    names = sorted({c for p in points for c in p.columns} - {"stream_id", "at"})
+    places = F.inline(F.array(*(F.struct(F.lit(label).alias("label"), when.cast("long").alias("at")) for label, (_, when) in at.items())))
+    told = asks.select("stream_id", F.struct(*asks.columns).alias("ask"), places).withColumn("asks", F.lit(1))
+    for p in points:
+        told = told.unionByName(p.withColumn("asks", F.lit(0)), allowMissingColumns=True)
+    before = Window.partitionBy("stream_id").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    told = told.withColumns({n: F.last(n, True).over(before) for n in names}).filter("asks = 1")
+    each = told.groupBy("ask.qid").agg(F.first("ask").alias("ask"), *(F.first(F.when(F.col("label") == label, F.col(n)), True).alias(label) for label, (n, _) in at.items()))
+    return each.select("ask.*", *at)
+
+
 def as_of(asks: DataFrame, points: DataFrame) -> DataFrame:
-    """Each ask (stream_id, at, qid) with p, the last point (stream_id, at, p) at or before it.  One sort of both, whatever their numbers."""
-    none = points.schema["p"].dataType.simpleString()
-    both = points.select("stream_id", "at", F.lit(0).alias("asks"), F.lit(None).cast("long").alias("qid"), "p").unionByName(
-        asks.select("stream_id", "at", F.lit(1).alias("asks"), "qid", F.lit(None).cast(none).alias("p"))
-    )
+    """asks (stream_id, at, ...) with p, the last point (stream_id, at, p) at or before each; qid need not be unique."""
+    told = asks.select("stream_id", "at", F.struct(*asks.columns).alias("ask")).withColumn("asks", F.lit(1))
+    both = told.unionByName(points.select("stream_id", "at", "p").withColumn("asks", F.lit(0)), allowMissingColumns=True)
     before = Window.partitionBy("stream_id").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("p", F.last("p", True).over(before)).filter("asks = 1").select("stream_id", "qid", "p")
+    return both.withColumn("p", F.last("p", True).over(before)).filter("asks = 1").select("ask.*", "p")
 
 
 def checked(elements: DataFrame, policy: str = "drop") -> DataFrame:
@@ -64,6 +84,19 @@ def before_slice(per: DataFrame, *totals: str) -> DataFrame:
     return per.select("stream_id", "slice", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in totals))
 
 
+def slice_starts(told: DataFrame) -> DataFrame:
+    """(stream_id, slice, shift, n): of sliced elements, how many stand before each slice, and the stream's length."""
+    per = told.groupBy("stream_id", "slice").agg(F.count("*").alias("k"))
+    by_slice = Window.partitionBy("stream_id").orderBy("slice")
+    before = F.coalesce(F.sum("k").over(by_slice.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return per.select("stream_id", "slice", before.alias("shift"), F.sum("k").over(Window.partitionBy("stream_id")).alias("n"))
+
+
+def _counted(told: DataFrame, starts: DataFrame) -> DataFrame:
+    own = Window.partitionBy("stream_id", "slice").orderBy("ts")
+    return told.withColumn("r", F.row_number().over(own) - 1).join(starts, ["stream_id", "slice"]).withColumn("c", F.col("r") + F.col("shift")).drop("r")
+
+
 def numbered(elements: DataFrame) -> DataFrame:
     """Adds c, the element's count in its stream from 0, and n, the stream's length.
 
@@ -71,11 +104,7 @@ def numbered(elements: DataFrame) -> DataFrame:
     shifted by the number of elements before, so one long stream is not one task.
     """
     told = sliced(elements)
-    per = told.groupBy("stream_id", "slice").agg(F.count("*").alias("k"))
-    before = Window.partitionBy("stream_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    shift = per.select("stream_id", "slice", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("shift"), F.sum("k").over(Window.partitionBy("stream_id")).alias("n"))
-    own = Window.partitionBy("stream_id", "slice").orderBy("ts")
-    return told.withColumn("r", F.row_number().over(own) - 1).join(shift, ["stream_id", "slice"]).select("stream_id", "ts", "value", "is_landmark", "n", "slice", "shift", (F.col("r") + F.col("shift")).alias("c"))
+    return _counted(told, slice_starts(told)).select("stream_id", "ts", "value", "is_landmark", "n", "slice", "shift", "c")
 
 
 def extended(state: DataFrame) -> DataFrame:
@@ -85,10 +114,12 @@ def extended(state: DataFrame) -> DataFrame:
     costs what it brings and not what the stream holds.
     """
 
+    custom = dict(CUSTOM)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                merger = Merger.resume(parse_decay(r["spec"]), r["n"], [(w["cs"], w["ce"]) for w in r["windows"] or []])
+                merger = Merger.resume(parse_decay(r["spec"], custom), r["n"], [(w["cs"], w["ce"]) for w in r["windows"] or []])
                 for size in pieces(merger.decay, r["more"], r["buffer"]):
                     merger.append(size)
                 w = merger.windows()
@@ -107,24 +138,28 @@ def layouts(sizes: DataFrame, spec: str, buffer: int = 0) -> DataFrame:
     return extended(state).withColumnRenamed("stream_id", "n")
 
 
-def placed(told: DataFrame, plan: DataFrame) -> DataFrame:
-    """Numbered elements with the cs, ce of their window of plan (stream_id, cs, ce), found side by side in slices."""
+def placed(told: DataFrame, starts: DataFrame, plan: DataFrame) -> DataFrame:
+    """Sliced elements with c and the cs, ce of their window of plan (stream_id, cs, ce).
+
+    A slice begins in a window that is looked up once, and meets the heads of others on
+    its way; slices are worked on side by side.
+    """
+    points = plan.select("stream_id", F.col("cs").alias("at"), F.struct("cs", "ce").alias("p"))
+    first = as_of(starts.withColumn("at", F.col("shift")), points).select("stream_id", "slice", "shift", "n", F.col("p.cs").alias("open_cs"), F.col("p.ce").alias("open_ce"))
     heads = plan.select("stream_id", F.col("cs").alias("c"), F.col("cs").alias("head_cs"), F.col("ce").alias("head_ce"))
     own = Window.partitionBy("stream_id", "slice").orderBy("c")
-    near = told.join(heads, ["stream_id", "c"], "left").withColumn("in_cs", F.last("head_cs", True).over(own)).withColumn("in_ce", F.last("head_ce", True).over(own))
-    slices = told.groupBy("stream_id", "slice").agg(F.min("c").alias("at"))
-    points = plan.select("stream_id", F.col("cs").alias("at"), F.struct("cs", "ce").alias("p"))
-    first = as_of(slices.select("stream_id", "at", F.col("slice").alias("qid")), points).select("stream_id", F.col("qid").alias("slice"), F.col("p.cs").alias("open_cs"), F.col("p.ce").alias("open_ce"))
-    told = near.join(first, ["stream_id", "slice"]).withColumn("cs", F.coalesce("in_cs", "open_cs")).withColumn("ce", F.coalesce("in_ce", "open_ce"))
-    return told.drop("head_cs", "head_ce", "in_cs", "in_ce", "open_cs", "open_ce")
+    near = _counted(told, first).join(heads, ["stream_id", "c"], "left")
+    near = near.withColumn("cs", F.coalesce(F.last("head_cs", True).over(own), "open_cs")).withColumn("ce", F.coalesce(F.last("head_ce", True).over(own), "open_ce"))
+    return near.drop("head_cs", "head_ce", "open_cs", "open_ce")
 
 
 def assigned(elements: DataFrame, spec: str, buffer: int = 0) -> DataFrame:
     """Numbered elements with cs, ce of their window."""
-    told = numbered(elements)
-    each = told.groupBy("stream_id").agg(F.first("n").alias("n"))
+    told = sliced(elements)
+    starts = slice_starts(told)
+    each = elements.groupBy("stream_id").agg(F.count("*").alias("n"))
     plan = each.join(layouts(each, spec, buffer), "n").select("stream_id", "cs", "ce")
-    return placed(told, plan).select("stream_id", "ts", "value", "is_landmark", "n", "c", "cs", "ce")
+    return placed(told, starts, plan).select("stream_id", "ts", "value", "is_landmark", "n", "c", "cs", "ce")
 
 
 def _plain(c: str) -> Column:

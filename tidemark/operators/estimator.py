@@ -13,17 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cell, normal_quantile
-from .build import as_of
+from .build import lookups
 
 END_OF_TIME = (1 << 62) - 1
 
 
 def clamped(queries: DataFrame, stats: DataFrame) -> DataFrame:
-    """Adds t0, t1: the query's interval within the stream's; disjoint ones are left out."""
-    bad = queries.filter("l < 0 or l > r").limit(1).count()
-    if bad:
-        raise ValueError("a query needs 0 <= l <= r")
-    return queries.join(stats, "stream_id").withColumn("t0", F.greatest("l", "first_ts")).withColumn("t1", F.least("r", "last_ts")).filter("t0 <= t1")
+    """Adds t0, t1: the query's interval within the stream's; t0 > t1, or both null, where they are disjoint or the stream is unknown."""
+    wrong = F.when((F.col("l") < 0) | (F.col("l") > F.col("r")), F.raise_error(F.lit("a query needs 0 <= l <= r")).cast("long"))
+    return queries.join(stats, "stream_id", "left").withColumn("t0", F.coalesce(wrong, F.greatest("l", F.col("first_ts")) + F.col("first_ts") * 0)).withColumn("t1", F.least("r", "last_ts"))
 
 
 def numbered_windows(windows: DataFrame) -> DataFrame:
@@ -31,21 +29,25 @@ def numbered_windows(windows: DataFrame) -> DataFrame:
     return windows.withColumn("i", F.row_number().over(Window.partitionBy("stream_id").orderBy("ts")) - 1)
 
 
-def located(asked: DataFrame, windows: DataFrame, *carried: str) -> DataFrame:
+def window_points(windows: DataFrame, *carried: str) -> DataFrame:
+    """Points of lookups(): ``after``, a window from where the one before it ends, and ``begun``, one from its start.  windows must have i."""
+    order = Window.partitionBy("stream_id").orderBy("ts")
+    w = windows.withColumn("next_ts", F.lead("ts").over(order)).withColumn("from", F.coalesce(F.lag("te").over(order) + 1, F.lit(-(1 << 62))))
+    p = F.struct("i", "ts", "te", "next_ts", *carried)
+    none = F.when(F.lit(False), p)
+    return w.select("stream_id", F.inline(F.array(F.struct(F.col("from").alias("at"), p.alias("after"), none.alias("begun")), F.struct(F.col("ts").alias("at"), none.alias("after"), p.alias("begun")))))
+
+
+def located(asked: DataFrame, windows: DataFrame, *carried: str, more: dict | None = None, points: tuple = ()) -> DataFrame:
     """asked (qid, stream_id, t0, t1, ...) with a and b: the first and the last window that each touches, structs of i, ts, te, next_ts and the carried columns.
 
-    windows must have i.  A window that ends before t0, even if the next begins after t0, is
-    not touched.  Queries that touch no window have a null a and b.  Windows meet queries
-    in two as-of lookups, so nothing grows with windows times queries.
+    A window that ends before t0, even if the next begins after t0, is not touched.
+    Queries that touch no window have a null a and b.  more, points: other lookups,
+    made at once.  Nothing grows with windows times queries.
     """
-    order = Window.partitionBy("stream_id").orderBy("ts")
-    w = windows.withColumn("next_ts", F.lead("ts").over(order)).withColumn("from", F.coalesce(F.lag("te").over(order) + 1, F.lit(-(1 << 62))))
-    p = F.struct("i", "ts", "te", "next_ts", *carried).alias("p")
-    first = as_of(asked.select("stream_id", F.col("t0").alias("at"), "qid"), w.select("stream_id", F.col("from").alias("at"), p))
-    last = as_of(asked.select("stream_id", F.col("t1").alias("at"), "qid"), w.select("stream_id", F.col("ts").alias("at"), p))
-    both = first.select("qid", F.col("p").alias("a")).join(last.select("qid", F.col("p").alias("b")), "qid")
-    some = (F.col("a.i") <= F.col("b.i")) & (F.col("a.te") >= F.col("t0"))
-    return asked.join(both, "qid").withColumn("some", F.coalesce(some, F.lit(False))).withColumn("a", F.when(F.col("some"), F.col("a"))).withColumn("b", F.when(F.col("some"), F.col("b"))).drop("some")
+    q = lookups(asked, {"a": ("after", F.col("t0")), "b": ("begun", F.col("t1"))} | (more or {}), window_points(windows, *carried), *points)
+    some = F.coalesce((F.col("t0") <= F.col("t1")) & (F.col("a.i") <= F.col("b.i")) & (F.col("a.te") >= F.col("t0")), F.lit(False))
+    return q.withColumn("some", some).withColumn("a", F.when(F.col("some"), F.col("a"))).withColumn("b", F.when(F.col("some"), F.col("b"))).drop("some")
 
 
 def touched(asked: DataFrame, windows: DataFrame) -> DataFrame:
@@ -89,22 +91,24 @@ def united(landmarks: DataFrame) -> DataFrame:
     return told.groupBy("stream_id", "k").agg(F.min("ts").alias("ts"), F.max("te").alias("te")).drop("k")
 
 
-def occupied(spans: DataFrame, landmarks: DataFrame) -> DataFrame:
-    """Ticks of each span (key, stream_id, low, high) that landmarks take up, by differences of running totals: key, ticks."""
+def landmark_points(landmarks: DataFrame) -> DataFrame:
+    """Points of lookups(): ``mark``, each landmark from its start, with the ticks of those before it."""
     m = united(landmarks)
     order = Window.partitionBy("stream_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
     m = m.withColumn("before", F.coalesce(F.sum(F.col("te") - F.col("ts") + 1).over(order), F.lit(0)))
-    points = m.select("stream_id", F.col("ts").alias("at"), F.struct("ts", "te", "before").alias("p"))
-    edges = spans.select("stream_id", "key", F.inline(F.array(F.struct(F.lit(1).alias("sign"), F.col("high").alias("at")), F.struct(F.lit(-1).alias("sign"), (F.col("low") - 1).alias("at"))))).withColumn("qid", F.xxhash64("key", "sign"))
-    found = as_of(edges.select("stream_id", "at", "qid").distinct(), points).select("qid", "p")
-    upto = F.when(F.col("p").isNull(), F.lit(0)).otherwise(F.col("p.before") + F.least(F.col("at"), F.col("p.te")) - F.col("p.ts") + 1)
-    return edges.join(found, "qid", "left").groupBy("key").agg(F.sum(F.col("sign") * upto).alias("ticks"))
+    return m.select("stream_id", F.col("ts").alias("at"), F.struct("ts", "te", "before").alias("mark"))
+
+
+def value_points(values: DataFrame) -> DataFrame:
+    """Points of lookups(): ``upto``, the running total of the landmark values (stream_id, ts, s)."""
+    order = Window.partitionBy("stream_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    return values.select("stream_id", F.col("ts").alias("at"), F.struct(F.sum(F.col("s").cast("double")).over(order).alias("s")).alias("upto"))
 
 
 def exact_values(asked: DataFrame, values: DataFrame) -> DataFrame:
     """Landmark values (stream_id, ts, ...) inside each query's interval: landmarks are few beside the elements."""
     v = values.withColumnRenamed("ts", "v_ts")
-    return asked.select("qid", "stream_id", "t0", "t1").join(v, "stream_id").filter("v_ts between t0 and t1")
+    return asked.filter("t0 <= t1").select("qid", "stream_id", "t0", "t1").join(v, "stream_id").filter("v_ts between t0 and t1")
 
 
 def estimate(queries: DataFrame, windows: DataFrame, stats: DataFrame, measure: str, multiplier: Column, confidence: float = 0.95, landmarks: DataFrame | None = None, landmark_values: DataFrame | None = None) -> DataFrame:
@@ -116,10 +120,14 @@ def estimate(queries: DataFrame, windows: DataFrame, stats: DataFrame, measure:
     The ticks of landmarks are taken from an edge window's span, and from the part of
     it that the query covers: of each, those that lie in it.
     """
-    asked = clamped(queries, stats).withColumn("k", multiplier)
+    asked = clamped(queries, stats).withColumn("k", multiplier).select("qid", "stream_id", "t0", "t1", "k")
     order = Window.partitionBy("stream_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     w = numbered_windows(windows.select("stream_id", "ts", "te", F.col(measure).cast("double").alias("s"))).withColumn("run", F.sum("s").over(order))
-    q = located(asked.select("qid", "stream_id", "t0", "t1", "k"), w, "s", "run")
+    if landmark_values is not None:
+        q = located(asked, w, "s", "run", more={"e1": ("upto", F.col("t1")), "e0": ("upto", F.col("t0") - 1)}, points=(value_points(landmark_values),))
+        q = q.withColumn("sm", F.when(F.col("t0") <= F.col("t1"), F.coalesce("e1.s", F.lit(0.0)) - F.coalesce("e0.s", F.lit(0.0))))
+    else:
+        q = located(asked, w, "s", "run").withColumn("sm", F.lit(0.0))
     two = F.col("a.i") < F.col("b.i")
     q = q.withColumn("w", F.coalesce(F.col("b.i") - F.col("a.i") + 1, F.lit(0)))
     q = q.withColumn("l0", F.col("a.ts")).withColumn("l1", F.when(two, F.col("a.next_ts") - 1).otherwise(F.col("a.te")))
@@ -132,24 +140,17 @@ def estimate(queries: DataFrame, windows: DataFrame, stats: DataFrame, measure:
         q = q.withColumn(f"{name}_0", F.when(side, low)).withColumn(f"{name}_1", F.when(side, F.greatest(high, low - 1)))
         q = q.withColumn(name, F.coalesce(F.col(f"{name}_1") - F.col(f"{name}_0") + 1, F.lit(0)))
     if landmarks is not None:
-        pieces = F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"{n}_0").alias("low"), F.col(f"{n}_1").alias("high")) for n in spans))
-        told = q.select("qid", "stream_id", F.inline(pieces)).filter("low <= high").withColumn("key", F.struct("qid", "name"))
-        less = occupied(told, landmarks).select("key.qid", "key.name", "ticks").groupBy("qid").pivot("name", list(spans)).agg(F.sum("ticks"))
-        q = q.join(less.select("qid", *(F.col(n).alias(f"less_{n}") for n in spans)), "qid", "left")
-    else:
-        q = q.select("*", *(F.lit(0).cast("long").alias(f"less_{n}") for n in spans))
-    if landmark_values is not None:
-        exact = exact_values(asked, landmark_values.select("stream_id", "ts", F.col("s").cast("double").alias("v"))).groupBy("qid").agg(F.sum("v").alias("sm"))
-        q = q.join(exact, "qid", "left")
-    else:
-        q = q.withColumn("sm", F.lit(0.0))
-    return q.select("qid", *interval(confidence)).unionByName(_empty(queries, stats))
+        edges = {f"{n}_{k}": ("mark", F.col(f"{n}_{k}") - (1 - k)) for n in spans for k in (0, 1)}
+        keep = ["qid", "stream_id", "k", "w", "sl", "sr", "middle", "sm", *spans, *edges]
+        q = lookups(q.select(*(F.col(c).alias(f"at_{c}") if c in edges else c for c in keep)), {e: (m, F.col(f"at_{e[:-2]}_{e[-1]}") - (1 - int(e[-1]))) for e, (m, _) in edges.items()}, landmark_points(landmarks))
 
+        def upto(e: str) -> Column:
+            return F.when(F.col(e).isNull(), F.lit(0)).otherwise(F.col(f"{e}.before") + F.least(F.col(f"at_{e}") - (1 - int(e[-1])), F.col(f"{e}.te")) - F.col(f"{e}.ts") + 1)
 
-def _empty(queries: DataFrame, stats: DataFrame) -> DataFrame:
-    """Queries outside of their stream, or of an unknown one: nothing, for certain."""
-    told = queries.join(stats.select("stream_id", "first_ts", "last_ts"), "stream_id", "left").filter("first_ts is null or greatest(l, first_ts) > least(r, last_ts)")
-    return told.select("qid", *(F.lit(0.0).alias(x) for x in ("result", "ci_low", "ci_high")))
+        q = q.select("*", *((upto(f"{n}_1") - upto(f"{n}_0")).alias(f"less_{n}") for n in spans))
+    else:
+        q = q.select("*", *(F.lit(0).cast("long").alias(f"less_{n}") for n in spans))
+    return q.select("qid", *interval(confidence))
 
 
 def interval(confidence: float) -> list[Column]:

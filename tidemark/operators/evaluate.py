@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.layout import layout
+
 
 def relative_error(estimate: Column, truth: Column) -> Column:
     return F.abs(estimate - truth) / (F.abs(truth) + 1)
@@ -111,15 +113,36 @@ def optimal_layout(n: int, windows: int, measure: np.ndarray) -> tuple[list[int]
     return [y - x for x, y in zip(cuts, cuts[1:])], float(best[n])
 
 
-def value_aware_layout(counts: np.ndarray, windows: int, measure: np.ndarray) -> tuple[list[int], float]:
-    """As optimal_layout, but the cost is the absolute error of proportional counts at the edges, for known counts per bin."""
+#: What the error of an interval is divided by, from its true count and that of all intervals (by weight).
+METRICS = {"absolute": lambda t, all_: 1.0, "wape": lambda t, all_: all_, "mape": lambda t, all_: t, "relative": lambda t, all_: 1.0 + t}
+
+
+def _intervals(counts: np.ndarray, measure: np.ndarray, metric: str):
+    """(left bin, right bin, weight) of each interval; of MAPE those without elements are left out."""
+    n, run = len(counts), np.concatenate([[0], np.cumsum(counts)]).astype(float)
+    every = [(n - 1 - age - length, n - 1 - age, measure[age, length]) for age in range(n) for length in range(n - age)]
+    total = sum(w * (run[r + 1] - run[l]) for l, r, w in every)
+    for l, r, w in every:
+        by = METRICS[metric](run[r + 1] - run[l], total)
+        if by > 0:
+            yield l, r, w / by
+
+
+def layout_error(counts: np.ndarray, lengths: list[int], measure: np.ndarray, metric: str = "absolute") -> float:
+    """The expected error of a layout: of both edges of each interval, by proportional counts."""
+    run, edges = np.concatenate([[0], np.cumsum(counts)]).astype(float), np.concatenate([[0], np.cumsum(lengths)])
+    off = np.abs(run - np.interp(np.arange(len(run)), edges, run[edges]))
+    return float(sum(w * (off[l] + off[r + 1]) for l, r, w in _intervals(counts, measure, metric)))
+
+
+def value_aware_layout(counts: np.ndarray, windows: int, measure: np.ndarray, metric: str = "absolute") -> tuple[list[int], float]:
+    """As optimal_layout, but the cost is the error of proportional counts at the edges, for known counts per bin, by one of METRICS."""
     n = len(counts)
     run = np.concatenate([[0], np.cumsum(counts)]).astype(float)
     left, right = np.zeros(n + 1), np.zeros(n + 1)
-    for age in range(n):
-        for length in range(n - age):
-            right[n - age] += measure[age, length]
-            left[n - age - length - 1] += measure[age, length]
+    for l, r, w in _intervals(counts, measure, metric):
+        left[l] += w
+        right[r + 1] += w
     cost = np.full((n + 1, n + 1), np.inf)
     for i in range(n):
         for j in range(i + 1, n + 1):
@@ -136,3 +159,49 @@ def value_aware_layout(counts: np.ndarray, windows: int, measure: np.ndarray) ->
         cuts.append(int(c[cuts[-1]]))
     cuts = [0, *cuts[::-1]]
     return [y - x for x, y in zip(cuts, cuts[1:])], float(best[n])
+
+
+def by_age_and_length(l: int, r: int, n: int) -> tuple[int, int]:  # noqa: E741
+    """(age, length) of the interval of bins [l, r], both from 0, in n bins."""
+    return n - 1 - r, r - l
+
+
+def by_edges(age: int, length: int, n: int) -> tuple[int, int]:
+    return n - 1 - age - length, n - 1 - age
+
+
+def binned_stream(n: int, rate: float, seed: int = 0) -> np.ndarray:
+    """Elements of a Poisson stream in each of n bins."""
+    return np.random.default_rng(seed).poisson(rate, n)
+
+
+def storage_against_error(counts: np.ndarray, measure: np.ndarray, windows: list[int], decays: list[str], metric: str = "absolute") -> list[tuple[str, int, float]]:
+    """(layout, windows, error): the best layouts of so many windows, and those of decays over the bins."""
+    out = [("best", w, value_aware_layout(counts, w, measure, metric)[1]) for w in windows]
+    for d in decays:
+        lengths = [b - a + 1 for a, b in layout(d, len(counts))]
+        out.append((d, len(lengths), layout_error(counts, lengths, measure, metric)))
+    return out
+
+
+def error_by_age_and_length(counts: np.ndarray, lengths: list[int]) -> list[tuple[int, int, float]]:
+    """(age, length, relative error) of every interval of a layout."""
+    n, out = len(counts), []
+    for age in range(n):
+        for length in range(n - age):
+            one = np.zeros((n, n))
+            one[age, length] = 1
+            out.append((age, length, layout_error(counts, lengths, one, "relative")))
+    return out
+
+
+def heat_map(profile: DataFrame, value: str = "error_p95") -> DataFrame:
+    """A row for each age class and a column for each length class of a profile."""
+    return profile.groupBy("age_class").pivot("length_class").agg(F.first(value))
+
+
+def landmark_mode_bins(elements: DataFrame, width: int, low: int, high: int) -> DataFrame:
+    """Bins of time with their sums, and of what remains when values of high and above, and of middle, are kept as landmarks: (stream_id, bin, total, low_sum, middle_sum, high_sum)."""
+    v = F.col("value")
+    part = lambda c: F.coalesce(F.sum(F.when(c, v)), F.lit(0))
+    return elements.groupBy("stream_id", F.floor(F.col("ts") / width).alias("bin")).agg(F.sum("value").alias("total"), part(v < low).alias("low_sum"), part((v >= low) & (v < high)).alias("middle_sum"), part(v >= high).alias("high_sum"))

@@ -66,8 +66,19 @@ def rational_power(p: int, q: int, r: int = 1, s: int = 1) -> Decay:
     return Decay(lambda: (s * k**q for k in count(1) for _ in range(r * k ** (p - 1))), s if q == 0 else None)
 
 
-def parse_decay(spec: str) -> Decay:
-    """exponentialB or rationalPowerP,Q[,R,S]"""
+#: Decays by names of the user's own: a function without arguments that gives the lengths, oldest last, without end.
+CUSTOM: dict[str, Callable[[], Iterator[int]]] = {}
+
+
+def register_decay(name: str, lengths: Callable[[], Iterator[int]]) -> None:
+    """Makes a decay known by a name, in this process and in the jobs that it starts from now on."""
+    CUSTOM[name] = lengths
+
+
+def parse_decay(spec: str, custom: dict | None = None) -> Decay:
+    """exponentialB, rationalPowerP,Q[,R,S] or a registered name"""
+    if spec in (known := CUSTOM if custom is None else custom):
+        return Decay(known[spec])
     if m := re.fullmatch(r"exponential([\d.]+)", spec):
         return exponential(float(m[1]))
     if m := re.fullmatch(r"rationalPower(\d+),(\d+)(?:,(\d+),(\d+))?", spec):

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import experiments
 from .functions.scalars import normal_quantile
 from .operators import build, estimator, evaluate, workload
 from .plans.layout import layout
 from .sources import streams
+from .sources.store import Store, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 DAY, HOUR, SECOND = 86_400_000_000, 3_600_000_000, 1_000_000
@@ -127,7 +130,7 @@ def _span(e):
 
 def calendar_workload(spark, sf_dir):
     t0, t1 = _span(_elements(spark, sf_dir))
-    return workload.calendar_workload(workload.calendar_bins(spark, "hours"), t0, t1, SECOND)
+    return workload.calendar_workload(workload.calendar_bins(spark), t0, t1, SECOND)
 
 
 def sampled_workload(spark, sf_dir):
@@ -167,7 +170,7 @@ def _kinds(spark, sf_dir, frame=None):
 
 def _value_queries(e):
     hi = e.agg(F.max("ts")).first()[0]
-    v = e.groupBy("value").agg(F.count("*").alias("truth")).filter("value < 60")
+    v = e.groupBy("value").agg(F.count("*").alias("truth"))
     return v.select(F.col("value").alias("qid"), F.lit(0).cast("long").alias("stream_id"), F.lit(0).cast("long").alias("l"), F.lit(hi).alias("r"), "value", "truth")
 
 
@@ -178,11 +181,140 @@ def cms_frequency(spark, sf_dir):
     return a.join(q.select("qid", "truth"), "qid").select("qid", "truth", (F.col("result") >= F.col("truth") - 1e-6).alias("not_under"), (F.col("result") <= F.col("truth") * 1.2 + 30).alias("near"))
 
 
+#: Share of absent values that a filter of the size asked for may call present.
+FALSE_SHARE = 0.05
+
+
+def _with_absent(q):
+    """Each value, and as many that no element has, under negative numbers."""
+    return q.unionByName(q.withColumn("value", F.col("value") + 1_000_000).withColumn("qid", -1 - F.col("qid")))
+
+
+def _told_apart(a):
+    absent = F.col("qid") < 0
+    return a.groupBy(F.when(absent, "absent").otherwise("present").alias("kind")).agg(F.count("*").alias("n"), F.avg(F.col("found").cast("double")).alias("share")).select("kind", "n", F.when(F.col("kind") == "present", F.col("share") == 1).otherwise(F.col("share") <= FALSE_SHARE).alias("right"))
+
+
 def bloom_membership(spark, sf_dir):
     e = _kinds(spark, sf_dir)
-    m, q = build.assigned(e, EXP), _value_queries(e).drop("truth")
-    a = estimator.membership(q, build.summarise(m), build.bloom_bits(m), build.stream_stats(e), *build.BLOOM)
-    return a.select("qid", "found")
+    m, q = build.assigned(e, EXP), _with_absent(_value_queries(e).drop("truth"))
+    return _told_apart(estimator.membership(q, build.summarise(m), build.bloom_bits(m), build.stream_stats(e), *build.BLOOM))
+
+
+def _long_landmarks(e):
+    """Nine hours of every second day, over the edges of one-day queries."""
+    e = e.withColumn("is_landmark", F.col("ts") % (2 * DAY) >= 3 * HOUR).withColumn("is_landmark", F.col("is_landmark") & (F.col("ts") % (2 * DAY) < 12 * HOUR))
+    k = F.floor(F.col("ts") / (2 * DAY)) * (2 * DAY)
+    return e, e.select("stream_id", (k + 3 * HOUR).alias("ts"), (k + 12 * HOUR - 1).alias("te")).distinct()
+
+
+def _estimated_long(spec, measure):
+    def run(spark, sf_dir):
+        e, marks = _long_landmarks(_elements(spark, sf_dir))
+        e = e.cache()
+        v = e.filter("is_landmark").select("stream_id", "ts", (F.lit(1) if measure == "count" else F.col("value")).alias("s"))
+        spread = estimator.count_multiplier() if measure == "count" else estimator.sum_multiplier()
+        return _rounded(estimator.estimate(_days(e), build.build_windows(e, spec), build.stream_stats(e), measure, spread, 0.95, marks, v))
+
+    return run
+
+
+def _stored(spark, sf_dir, operators, value=None, marked=False):
+    """Events in a new store, in two batches: the store and its elements."""
+    e, marks = _long_landmarks(_elements(spark, sf_dir))
+    if not marked:
+        e = e.withColumn("is_landmark", F.lit(False))
+    e = (e if value is None else e.withColumn("value", value)).cache()
+    store = Store(spark, f"{scratch(spark)}/store-{uuid.uuid4().hex}")
+    store.register(0, EXP, operators)
+    middle = e.agg(F.expr("percentile_approx(ts, 0.6)")).first()[0]
+    for low, high in ((0, middle), (middle + 1, 1 << 62)):
+        store.append(e.filter(F.col("ts").between(low, high)), marks.filter(F.col("ts").between(low, high)) if marked else None)
+    return store, e
+
+
+def _store_interval(kind):
+    def run(spark, sf_dir):
+        store, e = _stored(spark, sf_dir, ["SumOperator"], None, True)
+        return _rounded(store.query(_days(e), kind))
+
+    return run
+
+
+def store_landmarks(spark, sf_dir):
+    return _stored(spark, sf_dir, ["SumOperator"], None, True)[0].landmarks().select("ts", "te", "n_values", "sum_values")
+
+
+_DOLLARS = "floor(value / 100)"
+
+
+def store_frequency(spark, sf_dir):
+    store, e = _stored(spark, sf_dir, ["CMSOperator5,1000"], F.expr(_DOLLARS).cast("long"))
+    q = _value_queries(e)
+    a = store.query(q.drop("truth"), "CMS")
+    return a.join(q.select("qid", "truth"), "qid").select("qid", "truth", (F.col("result") >= F.col("truth") - 1e-6).alias("not_under"), (F.col("result") <= F.col("truth") * 1.2 + 30).alias("near"))
+
+
+def store_member(spark, sf_dir):
+    store, e = _stored(spark, sf_dir, ["BloomFilterOperator5,32768"], F.expr(_DOLLARS).cast("long"))
+    return _told_apart(store.query(_with_absent(_value_queries(e).drop("truth")), "BLOOM"))
+
+
+def _whole(e):
+    return e.agg(F.min("ts").alias("l"), F.max("ts").alias("r")).select(F.lit(0).cast("long").alias("qid"), F.lit(0).cast("long").alias("stream_id"), "l", "r")
+
+
+def store_quantile(spark, sf_dir):
+    store, e = _stored(spark, sf_dir, ["TDigestOperator"], F.expr(_DOLLARS).cast("long"))
+    v = store.query(_whole(e), "QUANTILE", q=0.9).first().result
+    return e.agg((F.avg((F.col("value") <= v).cast("double")) >= 0.87).alias("high_enough"), (F.avg((F.col("value") < v).cast("double")) <= 0.93).alias("low_enough"))
+
+
+def store_distinct(spark, sf_dir):
+    store, e = _stored(spark, sf_dir, ["HyperLogLogOperator"], F.expr(_DOLLARS).cast("long"))
+    n = e.agg(F.countDistinct("value").alias("truth"))
+    return store.query(_whole(e), "DISTINCT").join(F.broadcast(n)).select("truth", (F.abs(F.col("result") - F.col("truth")) <= 0.1 * F.col("truth")).alias("near"))  # one row with one row
+
+
+#: First counts of the windows of 1022 elements in two buffers of 31 that halve with age: fixed values of a published layout.
+GOLDEN = (0, 496, 744, 868, 930, 961, 977, 992, 1000, 1008, 1012, 1016, 1018, 1020, 1021)
+
+
+def golden_layout(spark, sf_dir):
+    return build.layouts(spark.createDataFrame([(1022,)], "n long"), EXP, 31).select("cs")
+
+
+def backup_shapes(spark, sf_dir):
+    e = _elements(spark, sf_dir, key="user_id")
+    t0, t1 = _span(e)
+    return workload.backup_shapes(e, t1, t0 + DAY, SECOND).fillna(-1, ["node", "ts"])
+
+
+def rescaled_workload(spark, sf_dir):
+    w = workload.rescaled_workload(workload.calendar_bins(spark), *_span(_elements(spark, sf_dir)))
+    return w.groupBy("age_class", "length_class").agg(F.count("*").alias("n"), F.min("l").alias("first_l"), F.max("r").alias("last_r"))
+
+
+def typed_truth(spark, sf_dir):
+    """True answers of every type of query for each day: dollars, 12 of them counted, 150 sought, 200 the threshold."""
+    e = _kinds(spark, sf_dir)
+    kinds = F.inline(F.array(*(F.struct(F.lit(k).alias("type"), F.lit(v).cast("long").alias("value")) for k, v in (("COUNT", None), ("SUM", None), ("MEAN", None), ("MAX", None), ("MAX_THRESH", 200), ("CMS", 12), ("BF", 150)))))
+    q = _days(e).select(F.col("qid").alias("day"), "stream_id", "l", "r", kinds).withColumn("qid", F.xxhash64("day", "type"))
+    return workload.truth(q, e, HOUR).join(q.select("qid", "day", "type"), "qid").select(F.col("day").alias("qid"), "type", F.round("truth", 6).alias("truth"))
+
+
+def comparison_profile(spark, sf_dir):
+    """Errors by decay, type, age and length class of days and hours: three stores, COUNT and SUM.  Without SQL, since its times are measured; tests hold the errors against the answers."""
+    e = _elements(spark, sf_dir).cache()
+    t0, t1 = _span(e)
+    bins = workload.calendar_bins(spark, "hours")
+    q = workload.typed(workload.sampled(workload.calendar_workload(bins, t0, t1, SECOND), 20), [{"type": "COUNT"}, {"type": "SUM"}]).withColumn("stream_id", F.lit(0).cast("long")).cache()
+    stores = {}
+    for decay in (EXP, POWER, "rationalPower1,1,8,1"):
+        stores[decay] = Store(spark, f"{scratch(spark)}/store-{uuid.uuid4().hex}")
+        stores[decay].register(0, decay, ["SumOperator"])
+        stores[decay].append(e)
+    return experiments.compare(stores, q, e, HOUR, ["COUNT", "SUM"])
 
 
 def distinct_values(spark, sf_dir):
@@ -300,7 +432,9 @@ def frequency_workload(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {
     "windows_exponential": _windows(EXP), "windows_power": _windows(POWER), "windows_power_wide": _windows("rationalPower1,1,2,1"), "windows_buffered": _windows(EXP, 511), "windows_landmarks": _windows(POWER, 0, True), "true_answers": _truth("count"),
+    "interval_count_long_landmarks": _estimated_long(EXP, "count"), "interval_sum_long_landmarks": _estimated_long(POWER, "sum"), "store_count": _store_interval("COUNT"), "store_sum": _store_interval("SUM"),
 } | {f.__name__: f for f in (
+    store_landmarks, store_frequency, store_member, store_quantile, store_distinct, golden_layout, backup_shapes, rescaled_workload, typed_truth, comparison_profile,
     exact_by_day, interval_filter, stream_statistics, window_layout, window_counts, interval_count, interval_sum, interval_count_bounds, interval_count_landmarks, interval_sum_landmarks, interval_max, max_threshold, interval_mean,
     landmark_windows, deviation_landmarks, error_profile, error_trend, calendar_workload, sampled_workload, fixed_bins, outlier_days, value_histogram, observation_statistics, rms_of_estimates,
     cms_frequency, bloom_membership, distinct_values, value_quantile, range_frequency, dyadic_range_count, repeated_stream, repeats_dropped, sliding_sums,
@@ -324,16 +458,17 @@ def _win(spec: str, buffer: int = 0, hot: bool = False) -> str:
 win AS (SELECT CAST(cs AS BIGINT) cs, CAST(ce AS BIGINT) ce, min(ts) ts, max(ts) te, count({v}) "count", CAST(coalesce(sum({v}), 0) AS BIGINT) "sum", max({v}) "max" FROM num ASOF JOIN lay ON num.c >= lay.cs GROUP BY cs, ce)"""
 
 
-def _est(spec: str, measure: str, hot: bool = False, confidence: float = 0.95) -> str:
+def _est(spec: str, measure: str, hot: bool = False, confidence: float = 0.95, elements: str = "", marked: str = "") -> str:
     z = normal_quantile(confidence)
     spread = "gs / gm" if measure == "count" else "sqrt(greatest(((gs / gm) * (gs / gm) + (vs / vm) * (vs / vm)) * vm, 0))"
     what = "count(*)" if measure == "count" else "sum(value)"
-    less = """less AS (SELECT qid, sum(greatest(least(coalesce(lm.te, 4611686018427387903), tm0 - 1) - greatest(lm.ts, ts1) + 1, 0)) a, sum(greatest(least(coalesce(lm.te, 4611686018427387903), tm0 - 1) - greatest(lm.ts, t0) + 1, 0)) b,
-  sum(greatest(least(coalesce(lm.te, 4611686018427387903), ed.te) - greatest(lm.ts, tm1) + 1, 0)) c, sum(greatest(least(coalesce(lm.te, 4611686018427387903), t1) - greatest(lm.ts, tm1) + 1, 0)) d
-  FROM ed JOIN lm ON lm.ts <= t1 AND coalesce(lm.te, 4611686018427387903) >= t0 GROUP BY qid)""" if hot else "less AS (SELECT NULL::BIGINT qid, 0 a, 0 b, 0 c, 0 d WHERE false)"
+    far = "coalesce(lm.te, 4611686018427387903)"
+    within = lambda a, b: f"sum(greatest(least({far}, {b}) - greatest(lm.ts, {a}) + 1, 0))"
+    less = f"""less AS (SELECT qid, {within('ts1', 'tm0 - 1')} a, {within('greatest(ts1, t0)', 'least(tm0 - 1, t1)')} b, {within('tm1', 'ed.te')} c, {within('greatest(tm1, t0)', 'least(ed.te, t1)')} d
+  FROM ed JOIN lm ON lm.ts <= ed.te AND {far} >= ts1 GROUP BY qid)""" if hot else "less AS (SELECT NULL::BIGINT qid, 0 a, 0 b, 0 c, 0 d WHERE false)"
     marks = f"mk AS (SELECT qid, CAST({what} AS DOUBLE) sm FROM qc JOIN e ON hot AND ts BETWEEN t0 AND t1 GROUP BY qid)" if hot else "mk AS (SELECT NULL::BIGINT qid, 0.0 sm WHERE false)"
     bounds = f"greatest(mean - {z} * k * sqrt(greatest(var, 0)), lo) ci_low, least(mean + {z} * k * sqrt(greatest(var, 0)), hi) ci_high" if z is not None else "lo ci_low, hi ci_high"
-    return f"""{_E}, {_LM}, {_win(spec, 0, hot)}, {_STATS}, {_Q},
+    return f"""{elements or _E}, {marked or _LM}, {_win(spec, 0, hot)}, {_STATS}, {_Q},
 seen AS (SELECT qid, win.ts, win.te, CAST("{measure}" AS DOUBLE) s, row_number() OVER (PARTITION BY qid ORDER BY win.ts) i FROM qc JOIN win ON win.ts <= t1 AND win.te >= t0 WHERE t0 <= t1),
 ed0 AS (SELECT qid, count(*) w, min(ts) ts1, max(te) te, max(ts) tm1, max(CASE WHEN i = 2 THEN ts END) ts2, arg_min(s, i) sl, arg_max(s, i) sr, sum(s) al FROM seen GROUP BY qid),
 ed AS (SELECT qc.*, {spread} k, w, ts1, te, tm1, coalesce(ts2, te + 1) tm0, sl, sr, al FROM qc LEFT JOIN ed0 USING (qid) WHERE t0 <= t1), {less}, {marks},
@@ -353,9 +488,9 @@ _D = f"d AS (SELECT CAST(floor(CAST(round(value * 100) AS BIGINT) / 100) AS BIGI
 _MAXES = f"""{_E}, {_win(EXP, 0, True)}, {_STATS}, {_Q}, parts AS (
   SELECT qid, "max" v, "max" IS NOT NULL s FROM qc JOIN win ON ts <= t1 AND te >= t0 WHERE t0 <= t1 UNION ALL SELECT qid, value, false FROM qc JOIN e ON hot AND ts BETWEEN t0 AND t1),
 mx AS (SELECT q.qid, max(v) result, NOT coalesce(bool_or(s), false) certain FROM q LEFT JOIN parts USING (qid) GROUP BY q.qid)"""
-_BINS = ", ".join(f"('{name}', {unit * k})" for name, unit, last in workload.CALENDAR if name not in ("seconds", "minutes") for k in range(1, last + 1))
+_BINS = ", ".join(f"('{name}', {unit * k})" for name, unit, low, high in workload.CALENDAR for k in range(low, high + 1))
 _CAL = f"""{_E}, bins(bin, span) AS (VALUES {_BINS}), s AS (SELECT min(ts) t0, max(ts) t1 FROM e),
-cal AS (SELECT a.bin age_class, b.bin length_class, CAST(a.span AS BIGINT) age, CAST(b.span AS BIGINT) length, t1 - CAST(a.span AS BIGINT) * {SECOND} - CAST(b.span AS BIGINT) * {SECOND} + {SECOND} AS l, t1 - CAST(a.span AS BIGINT) * {SECOND} AS r FROM bins a, bins b, s WHERE a.span + b.span - 1 <= (t1 - t0) // {SECOND} + 1)"""
+cal AS (SELECT a.bin age_class, b.bin length_class, CAST(a.span AS BIGINT) age, CAST(b.span AS BIGINT) length, t1 - CAST(a.span AS BIGINT) * {SECOND} - CAST(b.span AS BIGINT) * {SECOND} + {SECOND} AS l, t1 - CAST(a.span AS BIGINT) * {SECOND} AS r FROM bins a, bins b, s WHERE b.span > 0 AND a.span + b.span - 1 <= (t1 - t0) // {SECOND} + 1)"""
 _WSEL = 'SELECT cs, ce, ts, te, "count", "sum", "max" FROM win'
 
 
@@ -364,6 +499,20 @@ _CDF = """p AS (SELECT {s} AS s, least(greatest(floor(v / 300.0), 0), 99) AS k,
 c AS (SELECT g.s, g.w, g.k, sum(coalesce(n, 0)) OVER (PARTITION BY g.s ORDER BY g.k) / sum(coalesce(n, 0)) OVER (PARTITION BY g.s) AS cdf FROM g LEFT JOIN p ON p.s = g.s AND p.k = g.k)"""
 
 
+_LONG = f"e AS (SELECT CAST(0 AS BIGINT) AS stream_id, epoch_us(ts) AS ts, CAST(round(value * 100) AS BIGINT) AS value, epoch_us(ts) % {2 * DAY} BETWEEN {3 * HOUR} AND {12 * HOUR - 1} AS hot FROM events)"
+_LONG_LM = f"lm AS (SELECT DISTINCT (ts // {2 * DAY}) * {2 * DAY} + {3 * HOUR} AS ts, (ts // {2 * DAY}) * {2 * DAY} + {12 * HOUR - 1} AS te FROM e)"
+
+
+def _shapes_sql() -> str:
+    out = []
+    for k, (days, newest, what, by_node) in workload.SHAPES.items():
+        low = f"(SELECT max(ts) FROM x) - {days * DAY}" if newest else f"(SELECT min(ts) FROM x) + {DAY}"
+        high = "(SELECT max(ts) FROM x)" if newest else f"(SELECT min(ts) FROM x) + {DAY + days * DAY}"
+        node, ts, value = {"enum": ("node", "ts", "value")}.get(what, ("node" if by_node else "CAST(-1 AS BIGINT)", "CAST(-1 AS BIGINT)", "CAST(sum(value) AS BIGINT)" if what == "sum" else "count(*)"))
+        out.append(f"SELECT {k} AS shape, {node} AS node, {ts} AS ts, {value} AS value FROM x WHERE ts >= {low} AND ts <= {high}{' GROUP BY node' if by_node else ''}")
+    return "WITH x AS (SELECT user_id AS node, epoch_us(ts) AS ts, CAST(round(value * 100) AS BIGINT) AS value FROM events) " + " UNION ALL ".join(f"({o})" for o in out)
+
+
 def _oracles() -> dict[str, str]:
     power, p_lay = _est(POWER, "count"), ", ".join(f"({a}, {b})" for a, b in layout(POWER, SQL_N))
     errors = "er AS (SELECT abs(result - true_count) / (true_count + 1) x, (ci_high - ci_low) / (true_count + 1) wd, CASE WHEN true_count < ci_low - 1e-9 OR true_count > ci_high + 1e-9 THEN 1.0 ELSE 0.0 END ms FROM est JOIN tr USING (qid))"
@@ -410,8 +559,24 @@ def _oracles() -> dict[str, str]:
         "outlier_days": f"WITH {_E}, p AS (SELECT ts // {DAY} AS bin, CAST(sum(value) AS BIGINT) AS total FROM e GROUP BY 1) SELECT bin, total, change FROM (SELECT *, total - lag(total) OVER (ORDER BY bin) AS change FROM p) WHERE abs(change) > 100000",
         "value_histogram": f"WITH {_E}, p AS (SELECT least(greatest(floor(value / 300.0), 0), 99) AS b, count(*) AS n FROM e GROUP BY 1) SELECT k AS bin, round((k + 1) * 300.0, 3)::DOUBLE AS edge, coalesce(n, 0) AS n, round(sum(coalesce(n, 0)) OVER (ORDER BY k) / sum(coalesce(n, 0)) OVER (), 9) AS cdf FROM (SELECT unnest(range(100)) AS k) LEFT JOIN p ON p.b = k",
         "observation_statistics": f"WITH {_E} SELECT count(value) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS sd, min(value) AS low, max(value) AS high FROM e",
-        "cms_frequency": f"WITH {_D} SELECT value AS qid, count(*) AS truth, true AS not_under, true AS near FROM d WHERE value < 60 GROUP BY value",
-        "bloom_membership": f"WITH {_D} SELECT DISTINCT value AS qid, true AS found FROM d WHERE value < 60",
+        "cms_frequency": f"WITH {_D} SELECT value AS qid, count(*) AS truth, true AS not_under, true AS near FROM d GROUP BY value",
+        "bloom_membership": f"WITH {_D} SELECT 'present' AS kind, count(DISTINCT value) AS n, true AS right FROM d UNION ALL SELECT 'absent', count(DISTINCT value), true FROM d",
+        "interval_count_long_landmarks": f"WITH {_est(EXP, 'count', True, 0.95, _LONG, _LONG_LM)} {_ROUNDED}",
+        "interval_sum_long_landmarks": f"WITH {_est(POWER, 'sum', True, 0.95, _LONG, _LONG_LM)} {_ROUNDED}",
+        "store_count": f"WITH {_est(EXP, 'count', True, 0.95, _LONG, _LONG_LM)} {_ROUNDED}",
+        "store_sum": f"WITH {_est(EXP, 'sum', True, 0.95, _LONG, _LONG_LM)} {_ROUNDED}",
+        "store_frequency": f"WITH {_D} SELECT value AS qid, count(*) AS truth, true AS not_under, true AS near FROM d GROUP BY value",
+        "store_member": f"WITH {_D} SELECT 'present' AS kind, count(DISTINCT value) AS n, true AS right FROM d UNION ALL SELECT 'absent', count(DISTINCT value), true FROM d",
+        "store_quantile": "SELECT true AS high_enough, true AS low_enough",
+        "store_distinct": f"WITH {_D} SELECT count(DISTINCT value) AS truth, true AS near FROM d",
+        "store_landmarks": f"WITH {_LONG}, {_LONG_LM} SELECT lm.ts, lm.te, count(e.ts) AS n_values, CAST(coalesce(sum(value), 0) AS BIGINT) AS sum_values FROM lm LEFT JOIN e ON e.ts BETWEEN lm.ts AND lm.te GROUP BY lm.ts, lm.te",
+        "golden_layout": "SELECT CAST(cs AS BIGINT) AS cs FROM (VALUES " + ", ".join(f"({x})" for x in GOLDEN) + ") v(cs)",
+        "backup_shapes": _shapes_sql(),
+        "rescaled_workload": f"WITH {_E}, bins(bin, span) AS (VALUES {_BINS}), s AS (SELECT min(ts) t0, max(ts) t1 FROM e) SELECT a.bin AS age_class, b.bin AS length_class, count(*) AS n, CAST(min(t0 + floor(({workload.YEAR} - a.span - b.span + 1) * ((t1 - t0) / {workload.YEAR}::DOUBLE))) AS BIGINT) AS first_l, CAST(max(t0 + floor(({workload.YEAR} - a.span) * ((t1 - t0) / {workload.YEAR}::DOUBLE))) AS BIGINT) AS last_r FROM bins a, bins b, s WHERE b.span > 0 AND a.span + b.span - 1 <= {workload.YEAR} GROUP BY 1, 2",
+        "typed_truth": f"""WITH {_E}, {_STATS}, {_Q}, h AS (SELECT *, CAST(floor(value / 100) AS BIGINT) AS dollars FROM e), x AS (SELECT q.qid, h.* FROM q LEFT JOIN h ON h.ts BETWEEN q.l AND q.r)
+            SELECT qid, 'COUNT' AS type, CAST(count(ts) AS DOUBLE) AS truth FROM x GROUP BY qid UNION ALL SELECT qid, 'SUM', CAST(coalesce(sum(dollars), 0) AS DOUBLE) FROM x GROUP BY qid UNION ALL SELECT qid, 'MEAN', round(avg(dollars), 6) FROM x GROUP BY qid
+            UNION ALL SELECT qid, 'MAX', CAST(max(dollars) AS DOUBLE) FROM x GROUP BY qid UNION ALL SELECT qid, 'MAX_THRESH', CASE WHEN max(dollars) > 200 THEN 1.0 WHEN max(dollars) IS NULL THEN NULL ELSE 0.0 END FROM x GROUP BY qid
+            UNION ALL SELECT qid, 'CMS', CAST(count(CASE WHEN dollars = 12 THEN 1 END) AS DOUBLE) FROM x GROUP BY qid UNION ALL SELECT qid, 'BF', CASE WHEN count(CASE WHEN dollars = 150 THEN 1 END) > 0 THEN 1.0 ELSE 0.0 END FROM x GROUP BY qid""",
         "distinct_values": f"WITH {_D} SELECT count(DISTINCT value) AS truth, true AS near FROM d",
         "value_quantile": "SELECT true AS high_enough, true AS low_enough",
         "range_frequency": f"WITH {_D} SELECT count(*) AS truth, true AS near FROM d WHERE value BETWEEN 10 AND 49",

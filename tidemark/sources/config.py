@@ -70,17 +70,45 @@ class Config:
             e = streams.csv(spark, self.data["file"], 0, t0, t1)
         else:
             gaps, values = distribution(self.data["interarrivals"]), distribution(self.data["values"])
-            e = streams.synthetic(spark, self._enough(gaps), gaps, values, t0, self.data.get("random-seed", 0), self.streams).filter(F.col("ts").between(t0, t1))
+            n, make = self._enough(gaps), lambda n: streams.synthetic(spark, n, gaps, values, t0, self.data.get("random-seed", 0), self.streams)
+            while make(n).groupBy("stream_id").agg(F.max("ts").alias("last")).agg(F.min("last")).first()[0] < t1:
+                n *= 2  # the first elements stay the same
+            e = make(n).filter(F.col("ts").between(t0, t1))
         tag = self.data.get("tag-landmarks", {})
         if "numSDs" in tag:
             return build.deviation_landmarks(e, tag["numSDs"])
         return e.withColumn("is_landmark", (F.col("value") >= tag["threshold"]) if "threshold" in tag else F.lit(False))
 
     def _enough(self, gaps: tuple) -> int:
-        """Elements that pass the end of the span in all likelihood: a tenth and 1000 more than the mean gap asks for."""
+        """Elements to begin with: a tenth and 1000 more than the mean gap asks for."""
         kind, *p = gaps
         mean = {"exponential": lambda: 1 / p[0], "pareto": lambda: p[0] * p[1] / (p[1] - 1) if p[1] > 1 else p[0], "uniform": lambda: (p[0] + p[1]) / 2, "fixed": lambda: p[0], "zipf": lambda: 1}[kind]()
         return int((self.span[1] - self.span[0]) / mean * 1.1) + 1000
 
     def queries(self, spark: SparkSession) -> DataFrame:
-        return workload.calendar_workload(workload.calendar_bins(spark), *self.span, self.workload.get("ticks-per-second", 1))
+        """The workload by its generator's name (WORKLOADS); with operators, the queries are typed."""
+        made = WORKLOADS[self.workload.get("generator", "calendar")](spark, *self.span, self.workload)
+        operators = [{"type": o["type"], "param": _param(o.get("param"))} for o in self.workload.get("operators", [])]
+        return workload.typed(made, operators) if operators else made
+
+
+def _param(spec: dict | None):
+    return distribution(spec) if spec and "distribution" in spec else spec
+
+
+def _bins(spark: SparkSession, spec: dict, smallest: str) -> DataFrame:
+    return workload.calendar_bins(spark, spec.get("smallest-bin", smallest))
+
+
+def _calendar(spark: SparkSession, t0: int, t1: int, spec: dict) -> DataFrame:
+    return workload.calendar_workload(_bins(spark, spec, "subsecond"), t0, t1, spec.get("ticks-per-second", 1))
+
+
+def _sampled(spark: SparkSession, t0: int, t1: int, spec: dict) -> DataFrame:
+    bins = _bins(spark, spec, "seconds")
+    every = workload.rescaled_workload(bins, t0, t1) if spec.get("rescale-to-year") else workload.calendar_workload(bins, t0, t1, spec.get("ticks-per-second", 1))
+    return workload.sampled(every, spec["queries-per-class"], spec.get("random-seed", 0)) if "queries-per-class" in spec else every
+
+
+#: Generators of workloads by name: (spark, first time, last time, the workload section) -> queries.  More can be added.
+WORKLOADS = {"calendar": _calendar, "sampled-calendar": _sampled}

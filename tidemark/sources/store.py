@@ -43,6 +43,16 @@ class StreamError(Exception):
     pass
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder for stores of queries: the one that the cluster shares; a local session without one has a folder of the warehouse."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and spark.sparkContext.master.startswith("local"):
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    if not found:
+        raise StreamError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return found.rstrip("/")
+
+
 class Store:
     """readonly: nothing is ever written, and a missing store is an error.  cache: tables that are read stay in memory until unload()."""
 
@@ -267,7 +277,10 @@ class Store:
         had = {name: self._of(state, name, buckets) for name in TABLES}
         if sums.join(had["sums"], "stream_id").filter("first <= last_ts").limit(1).count():
             raise StreamError("times must strictly increase in a stream")
-        self._add(state, new, sums, options, had, buckets, landmarks)
+        try:
+            self._add(state, new, sums, options, had, buckets, landmarks)
+        finally:
+            self._fs.delete(self._jvm.Path(new.inputFiles()[0].rsplit("/", 1)[0]), True)
         self._commit(state | {"batch": state["batch"] if batch is None else batch, "late": state["late"] + late})
 
     def _materialised(self, new: DataFrame, state: dict) -> DataFrame:
@@ -278,14 +291,15 @@ class Store:
 
     def _add(self, state, new, sums, options, had, buckets, landmarks) -> None:
         before = had["sums"].select("stream_id", F.col("n").alias("n0"))
-        told = build.numbered(new).drop("n").join(before, "stream_id", "left").fillna(0, ["n0"]).withColumn("c", F.col("c") + F.col("n0"))
+        told = build.sliced(new)
+        starts = build.slice_starts(told).join(before, "stream_id", "left").withColumn("shift", F.col("shift") + F.coalesce("n0", F.lit(0))).drop("n0")
         own = had["windows"].groupBy("stream_id").agg(F.collect_list(F.struct("cs", "ce")).alias("windows"))  # as many as the square root of the elements
         grown = sums.join(options, "stream_id").join(before, "stream_id", "left").join(own, "stream_id", "left")
         plan = build.extended(grown.select("stream_id", F.col("decay").alias("spec"), "buffer", F.coalesce("n0", F.lit(0)).alias("n"), F.col("k").alias("more"), "windows"))
         points = plan.select("stream_id", F.col("cs").alias("at"), F.struct("cs", "ce").alias("p"))
         moved = build.as_of(had["windows"].select("stream_id", F.col("cs").alias("at"), F.col("cs").alias("qid")), points).select("stream_id", F.col("qid").alias("cs"), F.col("p.cs").alias("to_cs"), F.col("p.ce").alias("to_ce"))
         place = lambda frame: frame.join(moved, ["stream_id", "cs"], "left").withColumn("cs", F.coalesce("to_cs", "cs"))
-        members = build.placed(told, plan).join(options, "stream_id")
+        members = build.placed(told, starts, plan).join(options, "stream_id")
         some = members.withColumn("h", F.when(F.col("kind_hll"), F.col("value"))).withColumn("q", F.when(F.col("kind_kll"), F.col("value")))
         single = build.summarise(some, "h", "q")
         old = place(had["windows"]).withColumn("ce", F.coalesce("to_ce", "ce")).select(single.columns)

@@ -62,9 +62,16 @@ def csv(spark: SparkSession, path: str, stream_id: int = 0, t0: int = 0, t1: int
     return without_repeats(raw.filter(F.col("ts").between(t0, t1)).select(F.lit(stream_id).cast("long").alias("stream_id"), "ts", "value"))
 
 
-def trace(spark: SparkSession, path: str) -> DataFrame:
-    """Lines ``ts,node,bytes``; a node is a stream and bytes its values."""
-    return spark.read.csv(path, schema="ts long, node long, bytes long", comment="#").select(F.col("node").alias("stream_id"), "ts", F.col("bytes").alias("value"))
+def trace(spark: SparkSession, path: str, frequencies: bool = False) -> DataFrame:
+    """Lines ``ts,node,bytes``; a node is a stream and bytes its values.
+
+    frequencies: one stream whose values are nodes, each with its bytes as weight, for
+    frequencies of nodes; weights and plain values do not mix in one stream.
+    """
+    raw = spark.read.csv(path, schema="ts long, node long, bytes long", comment="#")
+    if frequencies:
+        return raw.select(F.lit(0).cast("long").alias("stream_id"), "ts", F.col("node").alias("value"), F.col("bytes").alias("weight"))
+    return raw.select(F.col("node").alias("stream_id"), "ts", F.col("bytes").alias("value"))
 
 
 def repeated(elements: DataFrame, times: int, gap: int) -> DataFrame:
