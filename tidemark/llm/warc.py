@@ -42,8 +42,8 @@ SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122's name spa
 DATE = "1970-01-01T00:00:00Z"
 SOFTWARE = "tidemark"
 #: The inside of a tag: quoted values after an equals sign may hold anything.
-_ATTRS = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+"
-_UP_TO = r"(?:(?>=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>]))*?"  # the same, as little as possible
+_ATTRS = r"[^>=]*+(?:=\s*+(?:\"[^\"]*+\"|'[^']*+')?+[^>=]*+)*+"
+_UP_TO = r"(?:[^>=]*+=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*?[^>=]*?"  # the same, attribute by attribute, as little as possible
 
 _COMMENT = r"!--.*?(?:-->|\Z)"  # this and the next ones behind a <
 
