@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .frames import materialise, shuffle_partitions, texts_by_id, with_totals
-from .textbuf import LOWER, SLICE_BYTES, column_bytes, mix, slices, space_pieces, word_prints, words
+from .textbuf import LOWER, SLICE_BYTES, column_bytes, lean, mix, slices, space_pieces, word_prints, words
 
 WORDS, PERCENT = 5, 75
 #: Documents looked at for the order of shingles, and how many of them make a shingle widespread.
@@ -327,7 +327,7 @@ def _widespread(texts: DataFrame, n: int) -> np.ndarray:
                 flat, _ = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)
                 yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], names=["token"])
 
-    found = some.mapInArrow(run, "token long").groupBy("token").count().filter(F.col("count") >= WIDESPREAD).orderBy(F.desc("count"), "token").limit(ORDER_TOKENS)
+    found = some.mapInArrow(lean(run), "token long").groupBy("token").count().filter(F.col("count") >= WIDESPREAD).orderBy(F.desc("count"), "token").limit(ORDER_TOKENS)
     return np.sort(np.array([r.token for r in found.collect()], np.int64).view(np.uint64))
 
 
@@ -385,7 +385,7 @@ def _first_links(texts: DataFrame, reps: DataFrame, n: int, percent: int) -> Dat
     blocks = materialise(told.select("token", "doc_id", F.pmod(F.xxhash64("doc_id", "token"), parts).alias("block")), "blocks")
     members = _only(texts, blocks.select("doc_id").distinct()).join(blocks, "doc_id").select("token", "block", "doc_id", "text")
     dealt = members.repartition(shuffle_partitions(spark), "token", "block").sortWithinPartitions("token", "block", "doc_id")
-    return dealt.mapInArrow(_link_blocks(n, percent), "a long, b long").distinct()
+    return dealt.mapInArrow(lean(_link_blocks(n, percent)), "a long, b long").distinct()
 
 
 def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -445,7 +445,7 @@ def _link_families(n: int, percent: int):
 def _later_links(texts: DataFrame, sets: DataFrame, placed: DataFrame, n: int, percent: int) -> DataFrame:
     """Steps 4 and 5.  placed: (doc_id, component, n, prefix) of each class."""
     parts = shuffle_partitions(sets.sparkSession)
-    rows = placed.select("doc_id", "component", "n", "prefix").mapInArrow(_prefix_rows, "token long, doc_id long, component long, n long")
+    rows = placed.select("doc_id", "component", "n", "prefix").mapInArrow(lean(_prefix_rows), "token long, doc_id long, component long, n long")
     token = Window.partitionBy("token")
     mixed = rows.withColumn("lo", F.min("component").over(token)).withColumn("hi", F.max("component").over(token)).withColumn("family", F.min("doc_id").over(token)).filter("lo < hi")
     mixed = mixed.select("family", "doc_id", "component", "n").distinct()
@@ -457,17 +457,17 @@ def _later_links(texts: DataFrame, sets: DataFrame, placed: DataFrame, n: int, p
     dealt = dealt.select("family", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "doc_id", "component", "n")
     bits = _only(sets.select("doc_id", "bits"), mixed.select("doc_id").distinct())
     told = dealt.join(bits, "doc_id").select("family", "x", "y", "side", "doc_id", "component", "n", "bits")
-    live = told.repartition(parts, "family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(_survivors(percent), "family long, x int, y int, side int, doc_id long, component long")
+    live = told.repartition(parts, "family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(lean(_survivors(percent)), "family long, x int, y int, side int, doc_id long, component long")
     live = materialise(live, "live")
     full = _only(texts, live.select("doc_id").distinct()).join(live, "doc_id").select("family", "x", "y", "side", "doc_id", "component", "text")
-    return full.repartition(parts, "family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(_link_families(n, percent), "a long, b long")
+    return full.repartition(parts, "family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(lean(_link_families(n, percent)), "a long, b long")
 
 
 def near_duplicate_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), class_id (the smallest doc_id with the same words)."""
     texts = texts_by_id(docs, id_col, text_col)
     late = _widespread(texts, n)
-    sets = materialise(texts.mapInArrow(_sets(n, percent, late), "doc_id long, n long, key binary, first array<long>, prefix binary, bits binary"), "sets")
+    sets = materialise(texts.mapInArrow(lean(_sets(n, percent, late)), "doc_id long, n long, key binary, first array<long>, prefix binary, bits binary"), "sets")
     some = sets.filter("n > 0")
     classes = materialise(with_totals(some.select("doc_id", "key"), ["key"], "doc_id", class_id=("doc_id", F.min)).select("doc_id", "class_id"), "classes")
     copies = classes.filter("doc_id != class_id")

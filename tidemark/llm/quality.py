@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbuf import SLICE_BYTES, column_bytes, slices, space_pieces, word_prints, words
+from .textbuf import SLICE_BYTES, column_bytes, lean, slices, space_pieces, word_prints, words
 
 PER_LABEL, PAIRS, CUT, BINS = 2000, 40_000, 0.3, 1 << 17
 
@@ -158,7 +158,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple[np.nd
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "x"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(F.broadcast(few), "doc_id").select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, x binary").orderBy("doc_id", "x").limit(2 * per_label).collect()
+    found = texts.join(F.broadcast(few), "doc_id").select("doc_id", "text", "quality").mapInArrow(lean(run), "doc_id long, quality int, x binary").orderBy("doc_id", "x").limit(2 * per_label).collect()
     if not found:
         return np.zeros((0, 0)), np.zeros(0), 0.5
     return np.stack([np.frombuffer(r.x) for r in found]), np.array([r.quality for r in found]), counts[0] / (counts[0] + counts[1])
@@ -176,7 +176,7 @@ def _histogram(docs: DataFrame, labels: DataFrame, ranker: Ranker) -> tuple[np.n
 
     most = 8 * float(np.abs(ranker.weight).sum()) + 1e-9  # features are clipped at 8
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and pmod(crc32(cast(doc_id as string)), 5) != 0")
-    told = texts.mapInArrow(run, "doc_id long, raw double").join(_learnable(labels).groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id")
+    told = texts.mapInArrow(lean(run), "doc_id long, raw double").join(_learnable(labels).groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id")
     place = F.floor((F.col("raw") + most) * (BINS / (2 * most)))
     bins = told.groupBy(place.alias("bin")).agg(F.min("raw").alias("low"), F.max("raw").alias("high"), F.sum(1 - F.col("quality")).alias("bad"), F.sum("quality").alias("good"))
     found = bins.toArrow().sort_by("bin")
@@ -201,7 +201,7 @@ def score_documents(docs: DataFrame, ranker: Ranker) -> DataFrame:
                 score = ranker.score(features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(score), pa.array((score >= CUT).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, score double, predicted int")
     return told.select("doc_id", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
@@ -218,4 +218,4 @@ def keep_good(docs: DataFrame, ranker: Ranker) -> DataFrame:
                 if len(kept):
                     yield kept
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

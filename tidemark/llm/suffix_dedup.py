@@ -42,12 +42,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import materialise, shuffle_partitions, texts_by_id
-from .textbuf import RollingHash, column_bytes, mix, ranges, slices
+from .textbuf import RollingHash, column_bytes, lean, mix, ranges, slices
 
 DEPTH, GRAM = 100, 32
 #: Low bits of a gram's rank that hold its place; window starts looked at in one go are fewer.
 PLACE_BITS = 22
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 #: Rows that a task gathers before it looks for copies among them.
 LOCAL_ROWS = 400_000
 #: Bytes of runs that a task compares at once, and rows of one anchor that stay together.
@@ -330,18 +330,18 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def spans_by_document(texts: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, text, spans array<struct<start,len>>) of every document; texts: unique (doc_id, text).  Spans may overlap."""
     n = shuffle_partitions(texts.sparkSession)
-    runs = texts.mapInArrow(_runs(depth, gram), ROWS).repartition(n, "digit").sortWithinPartitions("digit", "doc_id", "start")
-    second = materialise(runs.mapInArrow(_shared, ROWS), "runs")
+    runs = texts.mapInArrow(lean(_runs(depth, gram)), ROWS).repartition(n, "digit").sortWithinPartitions("digit", "doc_id", "start")
+    second = materialise(runs.mapInArrow(lean(_shared), ROWS), "runs")
     dealt = texts.repartition(n, "doc_id")
     shared = second.filter("kind = 0")
     large = materialise(shared.filter("part = 1").select("digit").distinct().withColumn("many", F.lit(True)), "large")
     large = F.broadcast(large) if large.count() <= BROADCAST_ANCHORS else large
     told = shared.join(large, "digit", "left").withColumn("many", F.coalesce("many", F.lit(False)))
     some = told.groupBy("doc_id").agg(F.collect_list(F.struct("start", "len", "digit", "part", "many")).alias("runs"))
-    spans = dealt.join(some, "doc_id").select("doc_id", "text", "runs").mapInArrow(_spans, SPANS)
-    third = spans.repartition(n, "digit", "part").sortWithinPartitions("digit", "part", "doc_id", "start").mapInArrow(_settle_windows(depth), WINDOWS)
+    spans = dealt.join(some, "doc_id").select("doc_id", "text", "runs").mapInArrow(lean(_spans), SPANS)
+    third = spans.repartition(n, "digit", "part").sortWithinPartitions("digit", "part", "doc_id", "start").mapInArrow(lean(_settle_windows(depth)), WINDOWS)
     third = materialise(third, "windows")
-    last = third.filter("span is not null").repartition(n, "digit", "tail").sortWithinPartitions("digit", "tail", "span", "doc_id", "start").mapInArrow(_compare, WINDOWS)
+    last = third.filter("span is not null").repartition(n, "digit", "tail").sortWithinPartitions("digit", "tail", "span", "doc_id", "start").mapInArrow(lean(_compare), WINDOWS)
     gone = second.filter("kind = 1").select("doc_id", "start", "len").unionByName(third.filter("span is null").select("doc_id", "start", "len")).unionByName(last.select("doc_id", "start", "len"))
     mine = gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "len")).alias("spans"))
     none = F.array().cast("array<struct<start:int,len:int>>")
@@ -381,4 +381,4 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:4]), pa.array(cols[4], pa.string())], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     spans = spans_by_document(texts_by_id(docs, id_col, text_col), depth, min(GRAM, depth))
-    return spans.mapInArrow(run, "doc_id long, kept string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return spans.mapInArrow(lean(run), "doc_id long, kept string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
