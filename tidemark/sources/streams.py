@@ -31,29 +31,36 @@ def from_operations(operations: DataFrame) -> tuple[DataFrame, DataFrame]:
     operations: (stream_id, op, ts, value) with op APPEND, LANDMARK_START or
     LANDMARK_END.  At one time a start comes before the append and an end after it.
     A start within a landmark and an end outside of one change nothing; a landmark
-    that has not ended has a null te.  Other values of op raise.
+    that has not ended has a null te.  Other values of op raise.  Where there is a
+    column seq, it orders what happens at one time instead.
     """
     place = F.when(F.col("op") == "LANDMARK_START", 0).when(F.col("op") == "APPEND", 1).when(F.col("op") == "LANDMARK_END", 2)
     place = F.coalesce(place, F.raise_error(F.concat(F.lit("unknown operation: "), F.coalesce("op", F.lit("null")))).cast("int"))
-    told = sliced(operations.withColumn("place", place)).withColumn("opens", F.when(F.col("place") != 1, F.col("place") == 0))
+    told = sliced(operations.withColumn("place", place).withColumn("seq", F.col("seq") if "seq" in operations.columns else F.col("place"))).withColumn("opens", F.when(F.col("place") != 1, F.col("place") == 0))
     marks = told.filter("opens is not null")
-    last = told.groupBy("stream_id", "slice").agg(F.max_by("opens", F.when(F.col("opens").isNotNull(), F.struct("ts", "place"))).alias("opens"))
+    last = told.groupBy("stream_id", "slice").agg(F.max_by("opens", F.when(F.col("opens").isNotNull(), F.struct("ts", "seq"))).alias("opens"))
     earlier = Window.partitionBy("stream_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.select("stream_id", "slice", F.last("opens", True).over(earlier).alias("before"))
-    own = Window.partitionBy("stream_id", "slice").orderBy("ts", "place")
+    own = Window.partitionBy("stream_id", "slice").orderBy("ts", "seq")
     state = F.coalesce(F.last("opens", True).over(own), F.col("before"), F.lit(False))
     elements = told.join(carried, ["stream_id", "slice"]).withColumn("is_landmark", state).filter("place = 1").select("stream_id", "ts", "value", "is_landmark")
-    by_time = Window.partitionBy("stream_id").orderBy("ts", "place")  # marks alone, which are few beside the elements
+    by_time = Window.partitionBy("stream_id").orderBy("ts", "seq")  # marks alone, which are few beside the elements
     turns = marks.withColumn("was", F.coalesce(F.lag("opens").over(by_time), F.lit(False))).filter("opens != was")
     windows = turns.withColumn("te", F.lead("ts").over(by_time)).filter("opens").select("stream_id", "ts", "te")
     return elements, windows
 
 
-def to_operations(elements: DataFrame, landmarks: DataFrame) -> DataFrame:
-    """The stream of operations that from_operations() reads: appends, and the edges of landmark windows."""
+def to_operations(elements: DataFrame, landmarks: DataFrame, marked: bool = False) -> DataFrame:
+    """The stream of operations that from_operations() reads: appends, and the edges of landmark windows.
+
+    marked: elements have a true is_landmark where they are in landmarks, and a column
+    seq keeps them apart from normal elements at the same time.
+    """
     none = F.lit(None).cast("long").alias("value")
-    edge = lambda op, at: landmarks.filter(F.col(at).isNotNull()).select("stream_id", F.lit(op).alias("op"), F.col(at).alias("ts"), none)
-    return elements.select("stream_id", F.lit("APPEND").alias("op"), "ts", "value").unionByName(edge("LANDMARK_START", "ts")).unionByName(edge("LANDMARK_END", "te"))
+    edge = lambda op, at, seq: landmarks.filter(F.col(at).isNotNull()).select("stream_id", F.lit(op).alias("op"), F.col(at).alias("ts"), none, F.lit(seq).alias("seq"))
+    seq = F.when(F.col("is_landmark"), 2).otherwise(0) if marked else F.lit(2)
+    every = elements.select("stream_id", F.lit("APPEND").alias("op"), "ts", "value", seq.alias("seq")).unionByName(edge("LANDMARK_START", "ts", 1)).unionByName(edge("LANDMARK_END", "te", 3))
+    return every if marked else every.drop("seq")
 
 
 def csv(spark: SparkSession, path: str, stream_id: int = 0, t0: int = 0, t1: int = (1 << 62)) -> DataFrame:
