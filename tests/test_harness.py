@@ -106,3 +106,37 @@ def test_config(spark):
         Config.parse(SPEC.replace("SimpleCount", "Nothing"))
     with pytest.raises(ValueError):
         Config.parse(SPEC.replace("Exponential", "Strange")).elements(spark)
+
+
+def test_equal_times_are_elements_of_their_own(spark, monkeypatch, tmp_path):
+    """Elements at one time all count, in every query; a landmark holds its own values, and operations tell them from normal ones at the same time."""
+    from datetime import datetime, timedelta
+
+    from tidemark import queries
+
+    monkeypatch.setattr(build, "SLICE_ELEMENTS", 7)
+    rng, t0, rows, t = random.Random(3), datetime(2024, 1, 1), [], 0
+    for k in range(240):
+        t += rng.choice([0, 0, 1, 40_000])
+        rows.append((k, t0 + timedelta(seconds=t), k % 3, "view", rng.choice([12.0, 150.0, 250.0, 12.0])))
+    path = str(tmp_path)
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{path}/events.parquet")
+    at = [int((r[1] - datetime(1970, 1, 1)).total_seconds()) * 1_000_000 for r in rows]
+    v = [round(r[4] * 100) for r in rows]
+    run = lambda name: sorted(tuple(r) for r in queries.QUERIES[name](spark, path).collect())
+    days = {}
+    for a, x in zip(at, v):
+        days.setdefault(a // queries.DAY, []).append(x)
+    assert run("exact_by_day") == sorted((d, len(x), sum(x), max(x)) for d, x in days.items())
+    totals = [(d, sum(x)) for d, x in sorted(days.items())]
+    assert run("outlier_days") == [(d, b, b - a) for (_, a), (d, b) in zip(totals, totals[1:]) if abs(b - a) > 100_000]
+    assert run("observation_statistics")[0] == (240, round(statistics.mean(v), 4), round(statistics.stdev(v), 4), min(v), max(v))
+    assert run("dyadic_range_count") == [(240,)] and run("range_frequency") == [(sum(x == 1200 for x in v), True)]
+    assert run("landmark_operations") == [(h, sum((x >= queries.HOT) == h for x in v), sum(x for x in v if (x >= queries.HOT) == h)) for h in (False, True)]
+    assert sum(r[1] for r in run("repeated_stream")) == 720 and sum(r[2] for r in run("repeated_stream")) == 3 * sum(v)
+    marks = run("landmark_windows")
+    assert sum(r[2] for r in marks) == sum(x >= queries.HOT for x in v)
+    assert all(any(a <= x and (b is None or x <= b) for a, b, *_ in marks) for x, y in zip(at, v) if y >= queries.HOT)
+    inside = [(a, x) for a, x in zip(at, v) if 3 * queries.HOUR <= a % (2 * queries.DAY) < 12 * queries.HOUR]
+    stored = run("store_landmarks")
+    assert sum(r[2] for r in stored) == len(inside) and sum(r[3] for r in stored) == sum(x for _, x in inside)

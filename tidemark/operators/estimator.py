@@ -25,13 +25,14 @@ def clamped(queries: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def numbered_windows(windows: DataFrame) -> DataFrame:
-    """Adds i, the place of each window in its stream."""
-    return windows.withColumn("i", F.row_number().over(Window.partitionBy("stream_id").orderBy("ts")) - 1)
+    """Adds i, the place of each window in its stream; those with equal times by their counts."""
+    order = [c for c in ("ts", "te", "cs") if c in windows.columns]
+    return windows.withColumn("i", F.row_number().over(Window.partitionBy("stream_id").orderBy(*order)) - 1)
 
 
 def window_points(windows: DataFrame, *carried: str) -> DataFrame:
     """Points of lookups(): ``after``, a window from where the one before it ends, and ``begun``, one from its start.  windows must have i."""
-    order = Window.partitionBy("stream_id").orderBy("ts")
+    order = Window.partitionBy("stream_id").orderBy("i")
     w = windows.withColumn("next_ts", F.lead("ts").over(order)).withColumn("from", F.coalesce(F.lag("te").over(order) + 1, F.lit(-(1 << 62))))
     p = F.struct("i", "ts", "te", "next_ts", *carried)
     none = F.when(F.lit(False), p)
@@ -121,8 +122,8 @@ def estimate(queries: DataFrame, windows: DataFrame, stats: DataFrame, measure:
     it that the query covers: of each, those that lie in it.
     """
     asked = clamped(queries, stats).withColumn("k", multiplier).select("qid", "stream_id", "t0", "t1", "k")
-    order = Window.partitionBy("stream_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    w = numbered_windows(windows.select("stream_id", "ts", "te", F.col(measure).cast("double").alias("s"))).withColumn("run", F.sum("s").over(order))
+    order = Window.partitionBy("stream_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    w = numbered_windows(windows.select("stream_id", "ts", "te", *(c for c in windows.columns if c == "cs"), F.col(measure).cast("double").alias("s"))).withColumn("run", F.sum("s").over(order))
     if landmark_values is not None:
         q = located(asked, w, "s", "run", more={"e1": ("upto", F.col("t1")), "e0": ("upto", F.col("t0") - 1)}, points=(value_points(landmark_values),))
         q = q.withColumn("sm", F.when(F.col("t0") <= F.col("t1"), F.coalesce("e1.s", F.lit(0.0)) - F.coalesce("e0.s", F.lit(0.0))))
@@ -215,7 +216,7 @@ def frequency(queries: DataFrame, windows: DataFrame, cells: DataFrame, stats: D
     found = wanted.join(cells, ["stream_id", "row", "col"]).groupBy("stream_id", "value", "cs").agg(F.min("n").alias("low"), F.count("*").alias("rows"))
     key = F.concat_ws(":", "stream_id", "value").alias("stream_id")
     per = lambda frame, *columns: frame.join(values, "stream_id").select(key, *columns)
-    mine = windows.select("stream_id", "cs", "ts", "te").join(values, "stream_id").join(found.filter(F.col("rows") == depth), ["stream_id", "value", "cs"], "left").select(key, "ts", "te", F.coalesce("low", F.lit(0)).alias("f"))
+    mine = windows.select("stream_id", "cs", "ts", "te").join(values, "stream_id").join(found.filter(F.col("rows") == depth), ["stream_id", "value", "cs"], "left").select(key, "cs", "ts", "te", F.coalesce("low", F.lit(0)).alias("f"))
     exact = None if landmark_values is None else landmark_values.join(values, ["stream_id", "value"]).select(key, "ts", F.lit(1).alias("s"))
     names = [c for c in stats.columns if c != "stream_id"]
     return estimate(queries.select("qid", key, "l", "r"), mine, per(stats, *names), "f", count_multiplier(), confidence, None if landmarks is None else per(landmarks, "ts", "te"), exact)

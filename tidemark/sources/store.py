@@ -253,16 +253,19 @@ class Store:
 
     # appending
 
-    def append(self, elements: DataFrame, landmarks: DataFrame | None = None, batch: int | None = None, late: int = 0) -> None:
+    def append(self, elements: DataFrame, landmarks: DataFrame | None = None, batch: int | None = None, late: int = 0, equal: str = "error") -> None:
         """Adds elements of registered streams, later than all that are there.
 
+        equal: what to do with several elements of a stream at one time.  error: raise;
+        keep: all are elements, and some may be at the last time that is there.
+
         Elements with a true is_landmark take a place in their window and are kept as
         they are; landmarks (stream_id, ts, te; a null te has not ended) replaces the
         open landmark of a stream and adds to the others.  All or nothing is added.
         """
         self._writable()
         state = self._state()
-        new = build.checked(elements, "error")
+        new = build.checked(elements, equal)
         new = self._materialised(new, state)
         sums = new.groupBy("stream_id").agg(F.count("*").alias("k"), F.min("ts").alias("first"), F.max("ts").alias("last"))
         options = self._options(state)
@@ -275,7 +278,7 @@ class Store:
                 self._commit(state | {"batch": state["batch"] if batch is None else batch, "late": state["late"] + late})
             return
         had = {name: self._of(state, name, buckets) for name in TABLES}
-        if sums.join(had["sums"], "stream_id").filter("first <= last_ts").limit(1).count():
+        if sums.join(had["sums"], "stream_id").filter("first < last_ts" if equal == "keep" else "first <= last_ts").limit(1).count():
             raise StreamError("times must strictly increase in a stream")
         try:
             self._add(state, new, sums, options, had, buckets, landmarks)
