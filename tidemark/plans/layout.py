@@ -145,6 +145,68 @@ class Merger:
         return sorted(self.ends.items())
 
 
+def settled(decay: Decay, n: int) -> list[tuple[int, int]] | None:
+    """What Merger makes of n single elements, without a step for each of them; None where lengths of the decay decrease.
+
+    Merges within one target window come before those of the same windows in an older
+    one, so target windows are taken in order, the newest first: each joins, from the
+    oldest element on, what lies at its age or beyond and fits its length.  Windows are
+    kept as runs of equal sizes; what is too new for one target window is too new for
+    all older ones and is done.
+    """
+    head, done, total, level, before = [[1, n]] if n else [], [], n, 0, 0
+    while head:
+        while level >= len(decay.lengths):
+            decay._extend()
+        length, reach = decay.lengths[level], n - decay.starts[level] + 1  # elements old enough
+        if length < before:
+            return None
+        while head and total > reach:
+            size, k = head[-1]
+            out = min(k, -(-(total - reach) // size))
+            done.append((size, out))
+            total -= out * size
+            head[-1][1] -= out
+            if not head[-1][1]:
+                head.pop()
+        if length > before and (len(head) > 1 or (head and 2 * head[0][0] <= length)):
+            head = _packed(head, length)
+        if length == decay.largest:
+            break
+        before, level = length, level + 1
+    at, out = 0, []
+    for size, k in (*head, *reversed(done)):
+        for _ in range(k):
+            out.append((at, at + size - 1))
+            at += size
+    return out
+
+
+def _packed(runs: list[list[int]], length: int) -> list[list[int]]:
+    """Runs [size, number] of neighbouring windows, joined from the first on as long as they fit."""
+    out, cur = [], 0  # cur: the size of the window that the next ones may join
+
+    def put(size: int, k: int) -> None:
+        if k and out and out[-1][0] == size:
+            out[-1][1] += k
+        elif k:
+            out.append([size, k])
+
+    for size, k in runs:
+        if cur and cur + size <= length:
+            more = min(k, (length - cur) // size)
+            cur, k = cur + more * size, k - more
+        if not k:
+            continue
+        put(cur, 1 if cur else 0)
+        group = max(length // size, 1)
+        rest = k % group or group
+        put(group * size, (k - rest) // group)
+        cur = rest * size
+    put(cur, 1 if cur else 0)
+    return out
+
+
 def pieces(decay: Decay, total: int, buffer: int = 0) -> Iterator[int]:
     """Sizes in which windows reach the merger: single elements, or full buffers cut at the target lengths, oldest the longest."""
     full = decay.covering(buffer)[::-1] if buffer else []
