@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cell, normal_quantile
-from .build import lookups
+from ..functions.scalars import cell, cms_cell, normal_quantile
+from .build import lookups, running, slice_at, slice_plan, sliced
 
 END_OF_TIME = (1 << 62) - 1
 
@@ -39,14 +39,13 @@ def window_points(windows: DataFrame, *carried: str) -> DataFrame:
     return w.select("stream_id", F.inline(F.array(F.struct(F.col("from").alias("at"), p.alias("after"), none.alias("begun")), F.struct(F.col("ts").alias("at"), none.alias("after"), p.alias("begun")))))
 
 
-def located(asked: DataFrame, windows: DataFrame, *carried: str, more: dict | None = None, points: tuple = ()) -> DataFrame:
+def located(asked: DataFrame, windows: DataFrame, *carried: str) -> DataFrame:
     """asked (qid, stream_id, t0, t1, ...) with a and b: the first and the last window that each touches, structs of i, ts, te, next_ts and the carried columns.
 
     A window that ends before t0, even if the next begins after t0, is not touched.
-    Queries that touch no window have a null a and b.  more, points: other lookups,
-    made at once.  Nothing grows with windows times queries.
+    Queries that touch no window have a null a and b.  Nothing grows with windows times queries.
     """
-    q = lookups(asked, {"a": ("after", F.col("t0")), "b": ("begun", F.col("t1"))} | (more or {}), window_points(windows, *carried), *points)
+    q = lookups(asked, {"a": ("after", F.col("t0")), "b": ("begun", F.col("t1"))}, window_points(windows, *carried))
     some = F.coalesce((F.col("t0") <= F.col("t1")) & (F.col("a.i") <= F.col("b.i")) & (F.col("a.te") >= F.col("t0")), F.lit(False))
     return q.withColumn("some", some).withColumn("a", F.when(F.col("some"), F.col("a"))).withColumn("b", F.when(F.col("some"), F.col("b"))).drop("some")
 
@@ -100,18 +99,28 @@ def landmark_points(landmarks: DataFrame) -> DataFrame:
     return m.select("stream_id", F.col("ts").alias("at"), F.struct("ts", "te", "before").alias("mark"))
 
 
-def value_points(values: DataFrame) -> DataFrame:
-    """Points of lookups(): ``upto``, the running total of the landmark values (stream_id, ts, s)."""
-    order = Window.partitionBy("stream_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return values.select("stream_id", F.col("ts").alias("at"), F.struct(F.sum(F.col("s").cast("double")).over(order).alias("s")).alias("upto"))
-
-
 def exact_values(asked: DataFrame, values: DataFrame) -> DataFrame:
     """Landmark values (stream_id, ts, ...) inside each query's interval: landmarks are few beside the elements."""
     v = values.withColumnRenamed("ts", "v_ts")
     return asked.filter("t0 <= t1").select("qid", "stream_id", "t0", "t1").join(v, "stream_id").filter("v_ts between t0 and t1")
 
 
+def exact_merged(asked: DataFrame, values: DataFrame, made: dict[str, Column], merges: dict[str, Callable]) -> DataFrame:
+    """qid and aggregates of the landmark values (stream_id, ts, ...) inside each query's interval, in several parts to be joined.
+
+    made: name -> aggregate of values; merges: name -> one that joins its results.  A
+    query takes whole slices of time, and single values only of the slices at its ends.
+    """
+    s, plan = sliced(values), slice_plan(values)
+    q = asked.filter("t0 <= t1").join(plan, "stream_id", "left").select("qid", "stream_id", "t0", "t1", slice_at("t0").alias("a"), slice_at("t1").alias("b"))
+    per = s.groupBy("stream_id", "slice").agg(*(c.alias(n) for n, c in made.items()))
+    inside = q.filter("a + 1 < b").select("qid", "stream_id", (F.col("a") + 1).alias("t0"), (F.col("b") - 1).alias("t1"))
+    inner = merged(inside, per.withColumn("ts", F.col("slice")).withColumnRenamed("slice", "te"), merges)
+    ends = q.select("qid", "stream_id", "t0", "t1", F.explode(F.array_distinct(F.array("a", "b"))).alias("slice"))
+    outer = ends.join(s, ["stream_id", "slice"]).filter("ts between t0 and t1").groupBy("qid").agg(*(c.alias(n) for n, c in made.items()))
+    return inner.unionByName(outer)
+
+
 def estimate(queries: DataFrame, windows: DataFrame, stats: DataFrame, measure: str, multiplier: Column, confidence: float = 0.95, landmarks: DataFrame | None = None, landmark_values: DataFrame | None = None) -> DataFrame:
     """qid, result, ci_low, ci_high; ci_low <= result <= ci_high.
 
@@ -125,8 +134,9 @@ def estimate(queries: DataFrame, windows: DataFrame, stats: DataFrame, measure:
     order = Window.partitionBy("stream_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     w = numbered_windows(windows.select("stream_id", "ts", "te", *(c for c in windows.columns if c == "cs"), F.col(measure).cast("double").alias("s"))).withColumn("run", F.sum("s").over(order))
     if landmark_values is not None:
-        q = located(asked, w, "s", "run", more={"e1": ("upto", F.col("t1")), "e0": ("upto", F.col("t0") - 1)}, points=(value_points(landmark_values),))
-        q = q.withColumn("sm", F.when(F.col("t0") <= F.col("t1"), F.coalesce("e1.s", F.lit(0.0)) - F.coalesce("e0.s", F.lit(0.0))))
+        values = landmark_values.select("stream_id", "ts", F.col("s").cast("double").alias("sm"))
+        q = running(located(asked, w, "s", "run"), {"e1": F.col("t1"), "e0": F.col("t0") - 1}, values, "sm")
+        q = q.withColumn("sm", F.when(F.col("t0") <= F.col("t1"), F.coalesce("e1.sm", F.lit(0.0)) - F.coalesce("e0.sm", F.lit(0.0))))
     else:
         q = located(asked, w, "s", "run").withColumn("sm", F.lit(0.0))
     two = F.col("a.i") < F.col("b.i")
@@ -201,7 +211,8 @@ def interval_max(queries: DataFrame, windows: DataFrame, stats: DataFrame, landm
     asked = clamped(queries, stats)
     parts = merged(asked, windows.select("stream_id", "ts", "te", "max"), {"max": F.max}).select("qid", F.col("max").alias("v"), F.col("max").isNotNull().alias("s"))
     if landmark_values is not None:
-        parts = parts.unionByName(exact_values(asked, landmark_values.select("stream_id", "ts", "value")).select("qid", F.col("value").alias("v"), F.lit(False).alias("s")))
+        kept = exact_merged(asked, landmark_values.select("stream_id", "ts", "value"), {"max": F.max("value")}, {"max": F.max})
+        parts = parts.unionByName(kept.select("qid", F.col("max").alias("v"), F.lit(False).alias("s")))
     found = parts.groupBy("qid").agg(F.max("v").alias("result"), (~F.max("s")).alias("certain"))
     return queries.select("qid").join(found, "qid", "left").select("qid", "result", F.coalesce("certain", F.lit(True)).alias("certain"))
 
@@ -212,7 +223,7 @@ def frequency(queries: DataFrame, windows: DataFrame, cells: DataFrame, stats: D
     Each (stream, value) asked for is a stream of its own to the estimator.
     """
     values = queries.select("stream_id", "value").distinct()
-    wanted = values.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(depth - 1)))).withColumn("col", cell(F.col("value"), F.col("row"), width))
+    wanted = values.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(depth - 1)))).withColumn("col", cms_cell(F.col("value"), F.col("row"), width))
     found = wanted.join(cells, ["stream_id", "row", "col"]).groupBy("stream_id", "value", "cs").agg(F.min("n").alias("low"), F.count("*").alias("rows"))
     key = F.concat_ws(":", "stream_id", "value").alias("stream_id")
     per = lambda frame, *columns: frame.join(values, "stream_id").select(key, *columns)
@@ -254,7 +265,7 @@ def distinct_count(queries: DataFrame, windows: DataFrame, stats: DataFrame, lan
     asked = clamped(queries, stats)
     parts = merged(asked, windows.select("stream_id", "ts", "te", "hll"), {"hll": F.hll_union_agg})
     if landmark_values is not None:
-        parts = parts.unionByName(exact_values(asked, landmark_values.select("stream_id", "ts", "value")).groupBy("qid").agg(F.hll_sketch_agg("value", 12).alias("hll")))
+        parts = parts.unionByName(exact_merged(asked, landmark_values.select("stream_id", "ts", "value"), {"hll": F.hll_sketch_agg("value", 12)}, {"hll": F.hll_union_agg}))
     found = parts.groupBy("qid").agg(F.hll_sketch_estimate(F.hll_union_agg("hll")).alias("result"))
     return queries.select("qid").join(found, "qid", "left").fillna(0, ["result"])
 
@@ -264,7 +275,7 @@ def quantile(queries: DataFrame, windows: DataFrame, stats: DataFrame, q: float,
     asked = clamped(queries, stats)
     parts = merged(asked, windows.select("stream_id", "ts", "te", "kll"), {"kll": F.kll_merge_agg_bigint})
     if landmark_values is not None:
-        parts = parts.unionByName(exact_values(asked, landmark_values.select("stream_id", "ts", "value")).groupBy("qid").agg(F.kll_sketch_agg_bigint("value").alias("kll")))
+        parts = parts.unionByName(exact_merged(asked, landmark_values.select("stream_id", "ts", "value"), {"kll": F.kll_sketch_agg_bigint("value")}, {"kll": F.kll_merge_agg_bigint}))
     one = parts.groupBy("qid").agg(F.kll_merge_agg_bigint("kll").alias("kll")).filter(F.kll_sketch_get_n_bigint("kll") > 0)
     found = one.select("qid", F.kll_sketch_get_quantile_bigint("kll", F.lit(q)).alias("result"))
     return queries.select("qid").join(found, "qid", "left")

@@ -302,17 +302,20 @@ class Store:
         points = plan.select("stream_id", F.col("cs").alias("at"), F.struct("cs", "ce").alias("p"))
         moved = build.as_of(had["windows"].select("stream_id", F.col("cs").alias("at"), F.col("cs").alias("qid")), points).select("stream_id", F.col("qid").alias("cs"), F.col("p.cs").alias("to_cs"), F.col("p.ce").alias("to_ce"))
         place = lambda frame: frame.join(moved, ["stream_id", "cs"], "left").withColumn("cs", F.coalesce("to_cs", "cs"))
-        members = build.placed(told, starts, plan).join(options, "stream_id")
+        members = build.placed(told, starts, plan).join(F.broadcast(options), "stream_id")  # as long as the registry
         some = members.withColumn("h", F.when(F.col("kind_hll"), F.col("value"))).withColumn("q", F.when(F.col("kind_kll"), F.col("value")))
         single = build.summarise(some, "h", "q")
         old = place(had["windows"]).withColumn("ce", F.coalesce("to_ce", "ce")).select(single.columns)
         self._write(state, "windows", build.merge_windows(old.unionByName(single)), buckets)
-        cells = build.cms_cells(members.filter("depth is not null"), "depth", "width").withColumn("row", F.col("row").cast("int"))
-        cells = place(had["cells"]).select(cells.columns).unionByName(cells).groupBy("stream_id", "cs", "row", "col").agg(F.sum("n").alias("n"))
-        self._write(state, "cells", cells, buckets)
-        bits = build.bloom_bits(members.filter("hashes is not null"), "hashes", "bits")
-        bits = place(had["bits"]).select(bits.columns).unionByName(bits).groupBy("stream_id", "cs", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
-        self._write(state, "bits", bits, buckets)
+        kinds = {k for s in state["streams"].values() for k in self._operators(s)}
+        if "CMS" in kinds:
+            cells = build.cms_cells(members.filter("depth is not null"), "depth", "width").withColumn("row", F.col("row").cast("int"))
+            cells = place(had["cells"]).select(cells.columns).unionByName(cells).groupBy("stream_id", "cs", "row", "col").agg(F.sum("n").alias("n"))
+            self._write(state, "cells", cells, buckets)
+        if "BLOOM" in kinds:
+            bits = build.bloom_bits(members.filter("hashes is not null"), "hashes", "bits")
+            bits = place(had["bits"]).select(bits.columns).unionByName(bits).groupBy("stream_id", "cs", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+            self._write(state, "bits", bits, buckets)
         self._write(state, "sums", self._sums(new, had["sums"]), buckets)
         if landmarks is not None:
             fresh = landmarks.select(F.col("stream_id").cast("long"), F.col("ts").cast("long"), F.col("te").cast("long"))
@@ -370,10 +373,10 @@ class Store:
 
     def landmarks(self) -> DataFrame:
         """Landmark windows, te null where one has not ended, with the number and the values' sum of each."""
-        m, v = self.table("marks"), self.table("values").withColumnRenamed("ts", "v_ts")
-        inside = m.join(v, "stream_id").filter(F.col("v_ts").between(F.col("ts"), F.coalesce("te", F.lit(estimator.END_OF_TIME))))
-        per = inside.groupBy("stream_id", "ts").agg(F.count("*").alias("n_values"), F.sum("value").alias("sum_values"))
-        return self._loaded(m.join(per, ["stream_id", "ts"], "left").fillna(0, ["n_values", "sum_values"]))
+        end, v = F.coalesce("te", F.lit(estimator.END_OF_TIME)), self.table("values").select("stream_id", "ts", F.lit(1).cast("long").alias("n_values"), F.col("value").alias("sum_values"))
+        m = build.running(self.table("marks").withColumn("qid", F.concat_ws(":", "stream_id", "ts", end)), {"b": end, "a": F.col("ts") - 1}, v, "n_values", "sum_values")
+        inside = {c: F.coalesce(f"b.{c}", F.lit(0)) - F.coalesce(f"a.{c}", F.lit(0)) for c in ("n_values", "sum_values")}
+        return self._loaded(m.select("stream_id", "ts", "te", *(x.alias(c) for c, x in inside.items())))
 
     def window_counts(self) -> DataFrame:
         marks = self.table("marks").groupBy("stream_id").agg(F.count("*").alias("n_landmarks"))
